@@ -23,7 +23,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from docquarry.llm.bpe import slices
 from docquarry.llm.common import mix64
@@ -229,12 +229,7 @@ def predict_words(words: list[str], scorer: Scorer) -> tuple[str, float]:
 _SCORERS: dict[int, Scorer] = {}
 
 
-def predict_table(documents: DataFrame, model: dict) -> DataFrame:
-    """doc_id, lang_pred and score of each whole text."""
-    spark = documents.sparkSession
-    ship(spark)
-    held = spark.sparkContext.broadcast(model)  # bounded by MODEL_WORDS and the n-gram limit, for each language
-
+def _labeller(held, out):
     def run(batches):
         scorer = _SCORERS.get(0)
         if scorer is None or scorer.model is not held.value:
@@ -242,9 +237,29 @@ def predict_table(documents: DataFrame, model: dict) -> DataFrame:
         for batch in batches:
             for piece in slices(batch):
                 got = predict_many(piece["text"].to_pylist(), scorer)
-                yield pa.RecordBatch.from_arrays([piece["doc_id"], pa.array([a for a, _ in got], pa.string()), pa.array([b for _, b in got], pa.float64())], names=["doc_id", "lang_pred", "score"])
+                yield out(piece, pa.array([a for a, _ in got], pa.string()), pa.array([b for _, b in got], pa.float64()))
+
+    return run
 
-    return documents.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+
+def predict_table(documents: DataFrame, model: dict) -> DataFrame:
+    """doc_id, lang_pred and score of each whole text."""
+    spark = documents.sparkSession
+    ship(spark)
+    held = spark.sparkContext.broadcast(model)  # bounded by MODEL_WORDS and GRAM_ROWS, for each language
+    out = lambda piece, lang, score: pa.RecordBatch.from_arrays([piece["doc_id"], lang, score], names=["doc_id", "lang_pred", "score"])
+    return documents.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(_labeller(held, out), "doc_id long, lang_pred string, score double")
+
+
+def label_rows(documents: DataFrame, model: dict) -> DataFrame:
+    """The rows themselves with _lang_pred and _lang_score added."""
+    spark = documents.sparkSession
+    ship(spark)
+    held = spark.sparkContext.broadcast(model)
+    schema = T.StructType([*documents.schema.fields, T.StructField("_lang_pred", T.StringType()), T.StructField("_lang_score", T.DoubleType())])
+    names = schema.names
+    out = lambda piece, lang, score: pa.RecordBatch.from_arrays([*piece.columns, lang, score], names=names)
+    return documents.mapInArrow(_labeller(held, out), schema)
 
 
 def held_out():
