@@ -6,8 +6,8 @@ its class, so all documents of the corpus, on whatever executor, give equal name
 Each symbol carries the range of words that its forming depended on. Inside a repeated passage, all symbols whose range
 lies in the passage are the same at each of its places.
 
-A window of WIDTH words is anchored at the least symbol, of the highest round that has one, whose range lies in the window
-(round zero, the words themselves, always has one). Windows that share an anchor are grouped and verified: runs of equal
+A window of WIDTH words is anchored at a symbol of the highest round that has one whose range lies in the window (round
+zero, the words themselves, always has one): at the least hash of such a range's words, which is far rarer than a symbol. Windows that share an anchor are grouped and verified: runs of equal
 content by their 64-bit digest together with the anchor, others word by word. See repeats.py for the exchange.
 
 Edge cases: null and empty texts have no words; texts of fewer than WIDTH words lose nothing. Rows with a null doc_id come
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from docquarry.llm.common import GOLDEN, Rolling, mix64, word_bounds, word_hashes
-from docquarry.llm.repeats import NO_ID, Windows, cut_runs, remove_repeats
+from docquarry.llm.repeats import NO_ID, PIECE, Runs, Windows, cut_runs, remove_repeats
 
 ROUNDS, WIDTH = 2, 20
 
@@ -80,49 +80,58 @@ class WordWindows(Windows):
     def __init__(self, width: int = WIDTH, rounds: int = ROUNDS, keep_text: bool = False):
         self.width, self.rounds, self.keep_text = width, rounds, keep_text
 
-    def units(self, data):
-        a, b, h = word_hashes(data)
-        return data, a, b, h, Rolling(h) if len(h) else None
-
-    def length(self, units):
-        return len(units[3])
+    def split(self, data):
+        a, b = word_bounds(data)
+        step = max(1, len(a) * PIECE // len(data))
+        n = len(a) - self.width + 1
+        return [(k, data[a[k] : b[min(n, k + step) + self.width - 2]]) for k in range(0, n, step)]
 
     def anchors(self, names: np.ndarray) -> np.ndarray:
         """The anchor of each window."""
         n, w = len(names), self.width
-        none = np.uint64(0xFFFFFFFFFFFFFFFF)
-        held = [np.full(n, none, np.uint64) for _ in range(w + 1)]  # by length of the range, at its low end
-        for r, (symbol, low, high) in enumerate(compress(names, self.rounds)):
+        roll = Rolling(names)
+        held: list[list] = [[] for _ in range(w + 1)]  # places and values by length of the range
+        for r, (_, low, high) in enumerate(compress(names, self.rounds)):
             size = high - low + 1
-            ok = (size <= w) & (low >= 0) & (high < n)
-            value = (mix64(symbol ^ GOLDEN) >> np.uint64(2)) | (np.uint64(self.rounds - r) << np.uint64(62))
-            for s in np.unique(size[ok]).tolist():
-                pick = ok & (size == s)
-                np.minimum.at(held[s], low[pick], value[pick])
-        best = held[1]
-        for s in range(2, w + 1):
-            best = np.minimum(np.minimum(best[:-1], best[1:]), held[s][: n - s + 1])
+            ok = np.flatnonzero((size <= w) & (low >= 0) & (high < n))
+            low, size = low[ok], size[ok]
+            value = (roll.of(low, low + size) >> np.uint64(2)) | (np.uint64(self.rounds - r) << np.uint64(62))
+            order = np.argsort(size, kind="stable")
+            low, size, value = low[order], size[order], value[order]
+            cut = np.searchsorted(size, np.arange(w + 2))
+            for s in range(1, w + 1):
+                if cut[s + 1] > cut[s]:
+                    held[s].append((low[cut[s] : cut[s + 1]], value[cut[s] : cut[s + 1]]))
+        best = np.full(n, 0xFFFFFFFFFFFFFFFF, np.uint64)
+        for s in range(1, w + 1):
+            if s > 1:
+                best = np.minimum(best[:-1], best[1:])
+            for low, value in held[s]:  # symbols of one round and length may share a range, and then a value
+                best[low] = np.minimum(best[low], value)
         return best
 
-    def runs(self, units, a, b):
-        _, _, _, h, roll = units
-        anchor, start, n = cut_runs(self.anchors(h[a : b + self.width - 1]), a)
-        return anchor, roll.of(start, start + n - 1 + self.width), start, n
-
-    def content(self, units, start, end):
-        data, a, b = units[:3]
-        return data[a[start] : b[end - 1]].tobytes()
-
-    def own_repeats(self, units):
-        h, roll = units[3], units[4]
-        at = np.arange(len(h) - self.width + 1)
-        _, lead, back = np.unique(roll.of(at, at + self.width), return_index=True, return_inverse=True)
-        lead = lead[back]
-        late = np.flatnonzero(lead != at)
-        same = np.ones(len(late), bool)
-        for k in range(self.width if len(late) else 0):
-            same &= h[late + k] == h[lead[late] + k]
-        return late[same]
+    def runs(self, pieces):
+        w = self.width
+        blank = np.array([0x20], np.uint8)
+        data = np.concatenate([x for p in pieces for x in (p, blank)])
+        sizes = np.array([len(p) + 1 for p in pieces])
+        a, b, h = word_hashes(data)
+        if len(h) < w:
+            h = h[:0]
+        piece_of = np.searchsorted(np.cumsum(sizes), a, "right")
+        first = np.searchsorted(piece_of, np.arange(len(pieces)))
+        at = np.flatnonzero(piece_of[: len(h) - w + 1] == piece_of[w - 1 :]) if len(h) else np.zeros(0, np.int64)
+        if not len(at):
+            none, zero = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+            return Runs(zero, none, none, zero, zero, None, (zero, zero, none))
+        roll = Rolling(h)
+        anchor, piece = self.anchors(h)[at], piece_of[at]
+        head, n = cut_runs(at, anchor, piece)
+        start = at[head]
+        digest = roll.of(start, start + n - 1 + w)
+        own = piece[head]
+        window = (piece, at - first[piece], roll.of(at, at + w))
+        return Runs(own, anchor[head], digest, start - first[own], n, lambda k: data[a[start[k]] : b[start[k] + n[k] + w - 2]].tobytes(), window)
 
     def compare(self, docs, crcs, starts, contents):
         w = self.width

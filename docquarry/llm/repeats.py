@@ -25,13 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from docquarry.llm.bpe import slices
-from docquarry.llm.common import arrow_bytes
+from docquarry.llm.common import arrow_bytes, mix64
 from docquarry.session import parts, ship
 
 #: Bytes of text for which there is one bucket and one shard.
 BYTES_PER_BUCKET = 8 << 20
-#: Units of a document that are looked at together; longer ones are cut with an overlap.
+#: Bytes of a document that are looked at together; longer ones are cut with an overlap.
 PIECE = 1 << 22
+#: Bytes of documents that are looked at together, about.
+CHUNK = 1 << 21
 NO_ID = np.iinfo(np.int64).max
 
 _ENTRY = [np.dtype("<u4"), np.dtype("<u8"), np.dtype("<i8")]  # anchor, digest, document
@@ -80,29 +82,27 @@ def wire(rows: list[tuple[int, int, bytes]]) -> pa.Table:
     return pa.Table.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], schema=_WIRE)
 
 
+class Runs:
+    """Runs of a chunk of pieces: piece number, anchor, digest, start within the piece, number of windows."""
+
+    def __init__(self, piece, anchor, digest, start, n, content=None, window=None):
+        self.piece, self.anchor, self.digest, self.start, self.n = piece, anchor, digest, start, n
+        self.content = content  # of a run's number: the units it covers, for compare()
+        self.window = window  # piece, start and hash of each window, where repeats within a document count
+
+
 class Windows:
     """What an operator gives: WIDTH, whether repeats within one document count, and how to read, compare and finish."""
 
     width: int
     within: bool
 
-    def units(self, data: np.ndarray):
-        """Whatever runs() and content() need of a text (UTF-8 bytes)."""
-        raise NotImplementedError
-
-    def length(self, units) -> int:
-        raise NotImplementedError
-
-    def runs(self, units, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of the windows that start in units a..b: anchor, digest, start and number of windows of each run."""
+    def split(self, data: np.ndarray) -> list[tuple[int, np.ndarray]]:
+        """A long text (UTF-8 bytes) in pieces that overlap by WIDTH - 1 units: number of the first unit, bytes."""
         raise NotImplementedError
 
-    def content(self, units, start: int, end: int) -> bytes:
-        """The units of a run, for compare()."""
-        raise NotImplementedError
-
-    def own_repeats(self, units) -> np.ndarray:
-        """Starts of windows that also start earlier in the same document; only where within is set."""
+    def runs(self, pieces: list[np.ndarray]) -> Runs:
+        """The runs of several pieces; windows never cross them."""
         raise NotImplementedError
 
     def compare(self, docs: np.ndarray, crcs: np.ndarray, starts: np.ndarray, contents: list[bytes]):
@@ -113,19 +113,28 @@ class Windows:
         """The result rows of documents; spans(i) gives the removed spans of the i-th as starts and ends."""
         raise NotImplementedError
 
-    def all_runs(self, data: np.ndarray):
-        units = self.units(data)
-        n = self.length(units) - self.width + 1
-        got = [self.runs(units, a, min(n, a + PIECE)) for a in range(0, n, PIECE)]
-        if not got:
-            return units, [np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)]
-        return units, [np.concatenate(c) for c in zip(*got, strict=True)]
+    def chunks(self, data: list[np.ndarray]):
+        """(document numbers and first units of the pieces, their runs), a few megabytes at a time."""
+        held, size = [], 0
+        for i, d in enumerate(data):
+            for first, piece in self.split(d) if len(d) > PIECE else [(0, d)]:
+                held.append((i, first, piece))
+                size += len(piece)
+                if size >= CHUNK:
+                    yield self._chunk(held)
+                    held, size = [], 0
+        if held:
+            yield self._chunk(held)
+
+    def _chunk(self, held):
+        return np.array([h[0] for h in held]), np.array([h[1] for h in held]), self.runs([h[2] for h in held])
 
 
-def cut_runs(anchor: np.ndarray, offset: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor, start and number of windows of each run of equal anchors."""
-    at = np.concatenate([[0], np.flatnonzero(anchor[1:] != anchor[:-1]) + 1])
-    return anchor[at], at + offset, np.diff(np.concatenate([at, [len(anchor)]]))
+def cut_runs(at: np.ndarray, anchor: np.ndarray, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First window and number of windows of each run; at: places of the windows that count, in order."""
+    new = (np.diff(at) != 1) | (anchor[1:] != anchor[:-1]) | (piece[1:] != piece[:-1])
+    head = np.concatenate([[0], np.flatnonzero(new) + 1]) if len(at) else np.zeros(0, np.int64)
+    return head, np.diff(np.concatenate([head, [len(at)]]))
 
 
 def _local_first(digest: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -144,13 +153,9 @@ def _entries(op: Windows, shards: int, buckets: int):
     def run(batches):
         for batch in batches:
             for piece in slices(batch):
-                anchors, digests, docs = [], [], []
-                for i, data in zip(piece["doc_id"].to_pylist(), arrow_bytes(piece["text"]), strict=True):
-                    _, (anchor, digest, _, _) = op.all_runs(data)
-                    anchors.append(anchor)
-                    digests.append(digest)
-                    docs.append(np.full(len(anchor), i, np.int64))
-                anchor, digest, doc = map(np.concatenate, (anchors, digests, docs)) if anchors else (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
+                ids = piece["doc_id"].to_numpy(zero_copy_only=False)
+                got = [(r.anchor, r.digest, ids[number[r.piece]]) for number, _, r in op.chunks(arrow_bytes(piece["text"]))]
+                anchor, digest, doc = map(np.concatenate, zip(*got, strict=True))
                 first, later = _local_first(digest, doc)
                 first = first[np.argsort(doc[first], kind="stable")]
                 shard = ((anchor[first] >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
@@ -188,47 +193,77 @@ def _answer(op: Windows, buckets: int):
     return run
 
 
+def _pair_key(doc: np.ndarray, digest: np.ndarray) -> np.ndarray:
+    """One number for a document and a digest."""
+    with np.errstate(over="ignore"):
+        return mix64(doc.astype(np.uint64) * np.uint64(3)) ^ digest
+
+
+def _again(row: np.ndarray, start: np.ndarray, digest: np.ndarray) -> np.ndarray:
+    """Windows that also start earlier in their row; starts ascend within a row."""
+    if not len(row):
+        return np.zeros(0, np.int64)
+    _, lead, back = np.unique(_pair_key(row, digest), return_index=True, return_inverse=True)
+    return np.flatnonzero(start > start[lead[back]])
+
+
 def _send(op: Windows, shards: int):
     def run(key, texts, replies):
         part = int(key[0].as_py())
         doc, digest, code = unpack(replies["blob"].to_pylist(), _REPLY)
-        order = np.lexsort((digest, doc))
-        doc, digest, code = doc[order], digest[order], code[order]
-        spans: list[list[np.ndarray]] = [[], [], [], []]
-        shard_of, sent = [], []
-        seen = set()
-        for i, data in zip(texts["doc_id"].to_pylist(), arrow_bytes(texts["text"]), strict=True):
-            a, b = np.searchsorted(doc, i, "left"), np.searchsorted(doc, i, "right")
-            if a == b and not op.within:
-                continue
-            crc = zlib.crc32(data)
-            if (i, crc) in seen:
-                continue
-            seen.add((i, crc))
-            units, (anchor, dig, start, n) = op.all_runs(data)
-            if not len(dig):
-                continue
-            told = np.zeros(len(dig), np.uint8)
-            if b > a:
-                at = np.minimum(a + np.searchsorted(digest[a:b], dig), b - 1)
-                told = np.where(digest[at] == dig, code[at], 0)
+        ids, data = texts["doc_id"].to_numpy(), arrow_bytes(texts["text"])
+        crcs = np.array([zlib.crc32(d) for d in data], np.uint32)
+        # repeated rows of one document and text are looked at once; without repeats inside documents, only those with a reply
+        use = np.zeros(len(ids), bool)
+        use[np.unique(np.stack([ids, crcs.astype(np.int64)]), axis=1, return_index=True)[1]] = True
+        if not op.within:
+            use &= np.isin(ids, doc)
+        use = np.flatnonzero(use)
+        key = _pair_key(doc, digest)
+        by = np.argsort(key)
+        key, code = key[by], code[by]
+        out: list[list[np.ndarray]] = [[], [], []]  # row, start, end
+        shard_of, sent, long_windows = [], [], {}
+        for number, first, r in op.chunks([data[i] for i in use.tolist()]):
+            row = use[number[r.piece]]
+            start = r.start + first[r.piece]
+            told = np.zeros(len(row), np.uint8)
+            if len(key):
+                own = _pair_key(ids[row], r.digest)
+                at = np.minimum(np.searchsorted(key, own), len(key) - 1)
+                told = np.where(key[at] == own, code[at], 0)
             gone = told == REMOVED
-            begin, stop = start[gone], start[gone] + n[gone] - 1 + op.width
+            out[0].append(row[gone])
+            out[1].append(start[gone])
+            out[2].append(start[gone] + r.n[gone] - 1 + op.width)
             if op.within:
-                own = op.own_repeats(units)
-                begin, stop = np.concatenate([begin, own]), np.concatenate([stop, own + op.width])
-                order = np.argsort(begin, kind="stable")
-                begin, stop = begin[order], stop[order]
-            begin, stop = union(begin, stop)
-            spans[0].append(np.full(len(begin), i, np.int64))
-            spans[1].append(np.full(len(begin), crc, np.uint32))
-            spans[2].append(begin)
-            spans[3].append(stop)
+                p, s, h = r.window
+                w_row, s = use[number[p]], s + first[p]
+                cut = np.isin(w_row, w_row[first[p] > 0]) | (len(data[use[number[-1]]]) > PIECE) & (w_row == use[number[-1]])
+                for i in np.unique(w_row[cut]).tolist():
+                    long_windows.setdefault(i, []).append((s[w_row == i], h[w_row == i]))
+                again = _again(w_row[~cut], s[~cut], h[~cut])
+                out[0].append(w_row[~cut][again])
+                out[1].append(s[~cut][again])
+                out[2].append(s[~cut][again] + op.width)
             for k in np.flatnonzero(told == WANTED).tolist():
-                shard_of.append(int(anchor[k] >> np.uint64(32)) % shards)
-                s = int(start[k])
-                sent.append((i, crc, s, op.content(units, s, s + int(n[k]) - 1 + op.width)))
-        rows = [(1, part, pack([np.concatenate(c) for c in spans], _SPAN))] if spans[0] else []
+                shard_of.append(int(r.anchor[k] >> np.uint64(32)) % shards)
+                sent.append((int(ids[row[k]]), int(crcs[row[k]]), int(start[k]), r.content(k)))
+        for i, got in long_windows.items():
+            s, h = (np.concatenate(c) for c in zip(*got, strict=True))
+            again = _again(np.zeros(len(s), np.int64), s, h)
+            out[0].append(np.full(len(again), i))
+            out[1].append(s[again])
+            out[2].append(s[again] + op.width)
+        rows = []
+        if out[0]:
+            row, begin, stop = (np.concatenate(c) for c in out)
+            order = np.lexsort((begin, row))
+            row, begin, stop = row[order], begin[order], stop[order]
+            far = np.int64(1) << 40  # rows end to end on one line, so that spans of all rows are united at once
+            begin, stop = union(begin + row * far, stop + row * far)
+            row = begin // far
+            rows = [(1, part, pack([ids[row], crcs[row], begin - row * far, stop - row * far], _SPAN))]
         order = sorted(range(len(sent)), key=shard_of.__getitem__)
         a = 0
         while a < len(order):

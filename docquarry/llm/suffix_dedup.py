@@ -18,12 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from docquarry.llm.common import Rolling
-from docquarry.llm.repeats import NO_ID, Windows, cut_runs, remove_repeats
+from docquarry.llm.repeats import NO_ID, PIECE, Runs, Windows, cut_runs, remove_repeats
 from docquarry.llm.suffixes import sorted_suffixes
 
 WIDTH, GRAM = 50, 20
-#: Bytes of contents that are sorted together, about.
-SORT_BYTES = 6 << 20
 
 
 class ByteWindows(Windows):
@@ -32,14 +30,18 @@ class ByteWindows(Windows):
     def __init__(self, width: int = WIDTH, gram: int = GRAM, keep_text: bool = False):
         self.width, self.gram, self.keep_text = width, gram, keep_text
 
-    def units(self, data):
-        return data
+    def split(self, data):
+        n = len(data) - self.width + 1
+        return [(a, data[a : min(n, a + PIECE) + self.width - 1]) for a in range(0, max(n, 1), PIECE)]
 
-    def length(self, units):
-        return len(units)
-
-    def runs(self, units, a, b):
-        data = units[a : b + self.width - 1]
+    def runs(self, pieces):
+        sizes = np.array([len(x) for x in pieces])
+        base = np.cumsum(sizes) - sizes
+        data = np.concatenate(pieces)
+        counts = np.maximum(sizes - self.width + 1, 0)
+        if not counts.sum():
+            none = np.zeros(0, np.uint64)
+            return Runs(np.zeros(0, np.int64), none, none, np.zeros(0, np.int64), np.zeros(0, np.int64))
         roll = Rolling(data.astype(np.uint64) + np.uint64(1))
         at = np.arange(len(data) - self.gram + 1)
         best = roll.of(at, at + self.gram)
@@ -49,11 +51,13 @@ class ByteWindows(Windows):
             have *= 2
         if have < span:
             best = np.minimum(best[: len(best) - (span - have)], best[span - have :])
-        anchor, start, n = cut_runs(best, 0)
-        return anchor, roll.of(start, start + n - 1 + self.width), start + a, n
-
-    def content(self, units, start, end):
-        return units[start:end].tobytes()
+        piece = np.repeat(np.arange(len(pieces)), counts)
+        at = np.arange(len(piece)) + np.repeat(base - (np.cumsum(counts) - counts), counts)
+        anchor = best[at]
+        head, n = cut_runs(at, anchor, piece)
+        start, piece = at[head], piece[head]
+        digest = roll.of(start, start + n - 1 + self.width)
+        return Runs(piece, anchor[head], digest, start - base[piece], n, lambda k: data[start[k] : start[k] + n[k] - 1 + self.width].tobytes())
 
     def compare(self, docs, crcs, starts, contents):
         sizes = np.array([len(x) for x in contents])
