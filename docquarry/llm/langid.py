@@ -33,6 +33,8 @@ from docquarry.session import ship
 SAMPLE_DOCS = 20_000
 #: Words of a language that a model holds; rarer ones go by their n-grams.
 MODEL_WORDS = 40_000
+#: Words whose scores a worker remembers, before it starts afresh.
+CACHE = 200_000
 SWITCH_PENALTY = 12.0
 WORD = re.compile(r"[^\W\d_]+")
 #: First code points of blocks, and their script. Fixed values of the Unicode standard.
@@ -202,7 +204,7 @@ def spans(text: str, scorer: Scorer) -> list[tuple[int, int, str]]:
 
 def predict_many(texts: list[str | None], scorer: Scorer) -> list[tuple[str, float]]:
     words = [WORD.findall(t.lower()) if t else [] for t in texts]
-    if len(scorer.number) > 400_000:
+    if len(scorer.number) > CACHE:
         scorer.forget()
     if scorer.langs:
         scorer.add(set().union(*words))

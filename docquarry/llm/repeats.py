@@ -152,7 +152,7 @@ def _local_first(digest: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.nd
 def _entries(op: Windows, shards: int, buckets: int):
     def run(batches):
         for batch in batches:
-            for piece in slices(batch):
+            for piece in slices(batch, 3 * CHUNK):
                 ids = piece["doc_id"].to_numpy(zero_copy_only=False)
                 got = [(r.anchor, r.digest, ids[number[r.piece]]) for number, _, r in op.chunks(arrow_bytes(piece["text"]))]
                 anchor, digest, doc = map(np.concatenate, zip(*got, strict=True))
