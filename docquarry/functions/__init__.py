@@ -1 +1 @@
-"""TODO"""
+"""Column functions: text, sections, citations, quantities."""

@@ -1 +1 @@
-"""TODO"""
+"""Composite plans and the registered queries."""

@@ -1,9 +1,475 @@
-"""Queries of the retrieval engine over the driver tables, with SQL oracles."""
+"""Queries of the retrieval engine over the driver tables, with SQL oracles.
+
+The tables have no paged sections, so a document stands for a parent, its lines for children, its source for a file, and
+vec_id for a document id where vectors and documents meet. Heading, citation and checklist operators run over inline rows.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from docquarry.functions import text as X
+from docquarry.operators import answers, evalx, ingest, search
+from docquarry.plans.retrieve import Config, normalise, retrieve
+from docquarry.session import table
+
+Q, O = {}, {}  # noqa: E741
+
+
+def register(sql: str | None = None):
+    def keep(f):
+        Q[f.__name__] = f
+        if sql:
+            O[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def docs(spark, d):
+    return table(spark, d, "documents").select(F.col("doc_id").alias("parent_id"), "text", "lang", "source")
+
+
+def bench(spark, d):
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
+def lines_of(spark, d):
+    """A document's lines: child_id, parent_id, text."""
+    rows = docs(spark, d).select("parent_id", F.posexplode(X.split_lines(F.col("text"))).alias("i", "text"))
+    return rows.select((F.col("parent_id") * 100000 + F.col("i")).alias("child_id"), "parent_id", "text")
+
+
+def inline(spark, rows, schema):
+    return spark.createDataFrame(rows, schema)
+
+
+# --- SQL shared by oracles
+
+_STOP = "[" + ", ".join(f"'{w}'" for w in X.STOPWORDS) + "]"
+_TOK = r"regexp_extract_all(lower({0}), '[a-z]?\d+(?:\.\d+)*|[\p{{L}}\p{{N}}_]+')"
+_LINES = r"[trim(x) for x in regexp_split_to_array({0}, '\r\n|[\n\r\x0b\x0c\x1c-\x1e]') if trim(x) <> '']"
+
+
+def _tok(col, stop=True):
+    t = _TOK.format(col)
+    return f"list_filter({t}, lambda x: NOT list_contains({_STOP}, x))" if stop else t
+
+
+_UNITS = "u AS (SELECT doc_id AS id, doc_id AS parent, text, lang, source FROM documents)"
+_CHILD_UNITS = f"u AS (SELECT doc_id * 100000 + i - 1 AS id, doc_id AS parent, l[i] AS text FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, {_LINES.format('text')} AS l FROM documents)))"
+_BM25 = f"""
+t AS (SELECT id, len(k) AS dl, unnest(k) AS term FROM (SELECT id, {_tok('text')} AS k FROM u)),
+p AS (SELECT id, term, dl, count(*) AS tf FROM t GROUP BY ALL),
+sz AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM (SELECT DISTINCT id, dl FROM p)),
+r AS (SELECT term, count(*) AS df, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM p, sz GROUP BY term),
+s AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM r) ELSE raw END AS idf FROM r),
+q AS (SELECT query_id, term, count(*) AS qn FROM (SELECT item_id AS query_id, unnest({_tok('text')}) AS term FROM benchmark) GROUP BY ALL),
+b AS (SELECT query_id, id, round(sum(qn * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM q JOIN s USING (term) JOIN p USING (term), sz GROUP BY ALL)"""
+_RANKED = "h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM b WHERE score > 0)"
+_VEC = """
+e AS (SELECT vec_id, [x::double for x in embedding] AS v FROM embeddings),
+vs AS (SELECT q.vec_id AS query_id, c.vec_id, round(list_inner_product(q.v, c.v) / sqrt(list_inner_product(c.v, c.v) * list_inner_product(q.v, q.v)), 6) AS score
+       FROM e q JOIN e c ON q.vec_id <> c.vec_id WHERE {asked}),
+v AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM vs)"""
+_VEC_100 = _VEC.format(asked="q.vec_id % 100 = 0")
+_VEC_SOME = _VEC.format(asked="q.vec_id % 100 = 0 AND c.vec_id IN (SELECT vec_id FROM embeddings WHERE label IN (1, 3))")
+_VEC = _VEC.format(asked="q.vec_id IN (SELECT item_id FROM benchmark)")
+
+
+def doc_hits(spark, d, k=20, filters=None):
+    units = docs(spark, d)
+    posted = search.postings(units, "parent_id", X.tokenize(F.col("text"), True))
+    allowed = units.where(search.filter_column(filters)).select("parent_id") if filters else None
+    return search.bm25(posted, search.term_stats(posted, "parent_id"), "parent_id", search.query_tokens(bench(spark, d), X.tokenize(F.col("text"), True)), k, allowed)
+
+
+def line_hits(spark, d, k=20):
+    units = lines_of(spark, d)
+    posted = search.postings(units, "child_id", X.tokenize(F.col("text"), True))
+    return search.bm25(posted, search.term_stats(posted, "child_id"), "child_id", search.query_tokens(bench(spark, d), X.tokenize(F.col("text"), True)), k).withColumn("parent_id", F.floor(F.col("child_id") / 100000))
+
+
+def vector_hits(spark, d, k=20, where=None, of_items=False):
+    """The stated query set: every vector whose id is divisible by 100, or those of benchmark items (vec_id stands for
+    the item's and the documents' ids)."""
+    e = table(spark, d, "embeddings")
+    asked = e.join(bench(spark, d), F.col("vec_id") == F.col("query_id"), "left_semi") if of_items else e.where("vec_id % 100 = 0")
+    queries = asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return search.vector_top_k(e if where is None else e.where(where), queries, k)
+
+
+@register(f"SELECT doc_id, len({_tok('text', False)})::int AS n_tokens, len({_tok('text')})::int AS n_content FROM documents")
+def tokenize_counts(spark, d):
+    t = F.col("text")
+    return table(spark, d, "documents").select("doc_id", F.size(X.tokenize(t)).alias("n_tokens"), F.size(X.tokenize(t, True)).alias("n_content"))
+
+
+@register(f"WITH {_UNITS}, {_BM25} SELECT term, df, round(idf, 6) AS idf FROM s")
+def bm25_term_stats(spark, d):
+    posted = search.postings(docs(spark, d), "parent_id", X.tokenize(F.col("text"), True))
+    return search.term_stats(posted, "parent_id").select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+@register(f"WITH {_UNITS}, {_BM25}, {_RANKED} SELECT query_id, id AS parent_id, rank, score FROM h WHERE rank <= 20")
+def bm25_topk(spark, d):
+    return doc_hits(spark, d).select("query_id", "parent_id", F.col("rank").cast("long").alias("rank"), "score")
+
+
+@register(f"WITH {_UNITS}, {_BM25}, f AS (SELECT b.* FROM b JOIN u USING (id) WHERE lang = 'en' AND source IN ('src1', 'src2', 'src3')), h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM f WHERE score > 0) SELECT query_id, id AS parent_id, rank, score FROM h WHERE rank <= 20")
+def bm25_filtered_topk(spark, d):
+    return doc_hits(spark, d, 20, {"lang": "en", "source": ["src1", "src2", "src3"], "section_type": None}).select("query_id", "parent_id", F.col("rank").cast("long").alias("rank"), "score")
+
+
+@register(f"WITH {_VEC_100} SELECT query_id, vec_id, rank, score FROM v WHERE rank <= 20")
+def vector_topk(spark, d):
+    return vector_hits(spark, d).select("query_id", "vec_id", F.col("rank").cast("long").alias("rank"), "score")
+
+
+@register(f"WITH {_VEC_SOME} SELECT query_id, vec_id, rank, score FROM v WHERE rank <= 5")
+def vector_topk_filtered(spark, d):
+    return vector_hits(spark, d, 5, F.col("label").isin(1, 3)).select("query_id", "vec_id", F.col("rank").cast("long").alias("rank"), "score")
+
+
+_PARENTS = "c AS (SELECT query_id, id // 100000 AS parent_id, rank, score FROM h WHERE rank <= 20), m AS (SELECT query_id, parent_id, min(rank) AS child_rank, arg_min(score, rank) AS score FROM c GROUP BY ALL)"
+
+
+@register(f"WITH {_CHILD_UNITS}, {_BM25}, {_RANKED}, {_PARENTS} SELECT query_id, parent_id, row_number() OVER (PARTITION BY query_id ORDER BY child_rank, parent_id) AS rank, score FROM m")
+def dedupe_parents(spark, d):
+    return search.parents_of(line_hits(spark, d)).withColumn("rank", F.col("rank").cast("long"))
+
+
+_FUSED = """g AS (SELECT query_id, id AS parent_id, rank FROM h WHERE rank <= 20 UNION ALL SELECT query_id, vec_id, rank FROM v WHERE rank <= 20),
+x AS (SELECT query_id, parent_id, round(sum(1.0::double / (60 + rank)), 10) AS rrf, min(rank) AS min_rank FROM g GROUP BY ALL),
+fz AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, min_rank, parent_id) AS fused_pos FROM x)"""
+
+
+def fused(spark, d):
+    return search.fuse({"bm25": doc_hits(spark, d), "vector": vector_hits(spark, d, of_items=True).withColumnRenamed("vec_id", "parent_id")})
+
+
+@register(f"WITH {_UNITS}, {_BM25}, {_RANKED}, {_VEC}, {_FUSED} SELECT query_id, parent_id, rrf, min_rank, fused_pos FROM fz")
+def rrf_fusion(spark, d):
+    return fused(spark, d).select("query_id", "parent_id", "rrf", F.col("min_rank").cast("long").alias("min_rank"), F.col("fused_pos").cast("long").alias("fused_pos"))
+
+
+@register(f"WITH {_CHILD_UNITS}, {_BM25}, {_RANKED}, c AS (SELECT query_id, id // 100000 AS parent_id, id, 1.0::double / (60 + rank) AS s FROM h WHERE rank <= 20) SELECT query_id, parent_id, arg_max(id, s) AS best_child, round(max(s), 10) AS best_score, count(*) AS n_children FROM c GROUP BY ALL")
+def child_rrf_best(spark, d):
+    s = line_hits(spark, d).withColumn("s", 1.0 / (search.RRF_K + F.col("rank")))
+    return s.groupBy("query_id", "parent_id").agg(F.max_by("child_id", "s").alias("best_child"), F.round(F.max("s"), 10).alias("best_score"), F.count(F.lit(1)).alias("n_children"))
+
+
+def candidates(spark, d):
+    """Fused candidates with the default reranker's score against the vector-side query id's benchmark text."""
+    q = bench(spark, d).select("query_id", X.tokenize(F.col("text"), True).alias("qt"))
+    p = docs(spark, d).select("parent_id", X.tokenize(F.col("text"), True).alias("pt"))
+    c = fused(spark, d).where("fused_pos <= 10").join(q, "query_id").join(p, "parent_id")
+    return c.select("query_id", "parent_id", "rrf", "fused_pos", (F.col("fused_pos") == 7).alias("pinned"), search.lexical_score(F.col("qt"), F.col("pt")).alias("rerank_score"))
+
+
+_CAND = f"""{_FUSED},
+k AS (SELECT fz.query_id, parent_id, rrf, fused_pos, fused_pos = 7 AS pinned,
+      len(list_intersect({_tok('bm.text')}, {_tok('dc.text')}))::double AS rerank_score
+      FROM fz JOIN benchmark bm ON bm.item_id = fz.query_id JOIN documents dc ON dc.doc_id = fz.parent_id WHERE fused_pos <= 10),
+kr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, fused_pos) AS rerank_rank, max(rrf) OVER (PARTITION BY query_id) AS best FROM k)"""
+_SCORES = {"replace": "rerank_score", "blend": "0.5 / (1 + exp(-rerank_score)) + 0.5 * rrf / best", "rrf": "rrf + 1.0::double / (60 + rerank_rank)"}
+
+
+def _ordered(mode):
+    return f"WITH {_UNITS}, {_BM25}, {_RANKED}, {_VEC}, {_CAND}, o AS (SELECT *, round({_SCORES[mode]}, 8) AS order_score FROM kr) SELECT query_id, parent_id, pinned, order_score, row_number() OVER (PARTITION BY query_id ORDER BY pinned DESC, CASE WHEN pinned THEN fused_pos END NULLS LAST, order_score DESC, fused_pos) AS position FROM o"
+
+
+def _order(mode):
+    def run(spark, d):
+        return search.order(candidates(spark, d), mode).select("query_id", "parent_id", "pinned", "order_score", F.col("position").cast("long").alias("position"))
+
+    run.__name__ = f"order_{mode}"
+    register(_ordered(mode))(run)
+
+
+for _m in _SCORES:
+    _order(_m)
+
+
+@register(f"WITH {_UNITS}, {_BM25}, {_RANKED}, {_VEC}, {_CAND}, o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pinned DESC, rerank_score DESC, fused_pos) AS position FROM kr WHERE pinned OR rerank_score >= 3) SELECT query_id, parent_id, rerank_score, position AS final_rank FROM o WHERE position <= 3")
+def final_results(spark, d):
+    cut = search.final_cut(search.order(candidates(spark, d), "replace"), 3.0, 3)
+    return cut.select("query_id", "parent_id", "rerank_score", F.col("final_rank").cast("long").alias("final_rank"))
+
+
+@register(f"WITH {_UNITS}, {_BM25}, {_RANKED} SELECT query_id, id AS parent_id, len(list_intersect({_tok('bm.text')}, {_tok('dc.text')}))::double AS rerank_score FROM h JOIN benchmark bm ON bm.item_id = query_id JOIN documents dc ON dc.doc_id = id WHERE rank <= 10")
+def lexical_rerank(spark, d):
+    q = bench(spark, d).select("query_id", X.tokenize(F.col("text"), True).alias("qt"))
+    p = docs(spark, d).select("parent_id", X.tokenize(F.col("text"), True).alias("pt"))
+    return doc_hits(spark, d, 10).join(q, "query_id").join(p, "parent_id").select("query_id", "parent_id", search.lexical_score(F.col("qt"), F.col("pt")).alias("rerank_score"))
+
+
+@register()
+def retrieve_pipeline(spark, d):
+    return retrieve(bench(spark, d), docs(spark, d), Config()).select("query_id", "parent_id", "rerank_score", "final_rank")
+
+
+# --- ingestion
+
+_ROWS = f"rows AS (SELECT source, doc_id AS page, len(l) AS n, i - 1 AS i, l[i] AS line FROM (SELECT source, doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT source, doc_id, {_LINES.format('text')} AS l FROM documents)))"
+_REP = r"rep AS (SELECT source, regexp_replace(line, '\d+', '#', 'g') AS masked, count(DISTINCT page) AS n_pages FROM rows WHERE i < 3 OR i >= n - 3 GROUP BY ALL), pg AS (SELECT source, count(DISTINCT page) AS pages FROM rows GROUP BY source), again AS (SELECT rep.* FROM rep JOIN pg USING (source) WHERE n_pages >= greatest(2, 0.1 * pages))"
+
+
+def page_rows(spark, d):
+    return ingest.lines(table(spark, d, "documents").select("source", F.col("doc_id").alias("page"), "text"))
+
+
+@register(f"WITH {_ROWS} SELECT source, page, i::int AS line_index, line FROM rows WHERE i < 3 OR i >= n - 3")
+def edge_lines(spark, d):
+    return ingest.edge_lines(page_rows(spark, d)).select("source", "page", "line_index", "line")
+
+
+@register(f"WITH {_ROWS}, {_REP} SELECT source, masked, n_pages FROM again")
+def repeated_edge_lines(spark, d):
+    return ingest.repeated_edge_lines(page_rows(spark, d))
+
+
+@register(rf"WITH {_ROWS}, {_REP} SELECT r.source, r.page, count(*) FILTER ((i < 3 OR i >= n - 3) AND a.masked IS NOT NULL) AS n_furniture, count(*) AS n_lines FROM rows r LEFT JOIN again a ON a.source = r.source AND a.masked = regexp_replace(r.line, '\d+', '#', 'g') GROUP BY ALL")
+def furniture_removed(spark, d):
+    """No line of the tables is a heading or matches a furniture pattern, so repeats at the edges are all there is."""
+    return ingest.flag_furniture(page_rows(spark, d)).groupBy("source", "page").agg(F.count_if("is_furniture").alias("n_furniture"), F.count(F.lit(1)).alias("n_lines"))
+
+
+_E = X.NUMBERED_ENTRY.replace("'", "''")
+
+
+@register(rf"SELECT doc_id, len(list_filter({_LINES.format('text')}, lambda x: regexp_matches(x, '{X.DOT_LEADER}'))) >= 3 OR len(list_filter({_LINES.format('text')}, lambda x: regexp_matches(x, '{_E}'))) >= 5 OR len(list_filter({_LINES.format('text')}, lambda x: regexp_matches(x, '{X.CONTENTS_TITLE}'))) > 0 AS is_contents FROM documents")
+def contents_pages(spark, d):
+    return table(spark, d, "documents").select("doc_id", X.is_contents_page(X.split_lines(F.col("text"))).alias("is_contents"))
+
+
+@register(r"SELECT doc_id, length(regexp_replace(regexp_replace(text, '([\p{L}\p{N}_])-\n([\p{L}\p{N}_])', '\1\2', 'g'), '([\p{L}\p{N}_])\n-\n([\p{L}\p{N}_])', '\1\2', 'g'))::int AS n FROM documents")
+def hyphen_repair(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.length(X.repair_hyphens(F.col("text"))).alias("n"))
+
+
+_HEADINGS = [
+    ("404.2.3 Clear Width.  Door openings shall provide 32 inches.", "404.2.3", "Clear Width", "code"), ("403 Walking Surfaces", "403", "Walking Surfaces", "code"),
+    ("213, 603, 604, and 608 Toilet and Bathing", "213, 603, 604, 608", "Toilet and Bathing", "code"), ("§ 35.151 New construction and alterations.", "35.151", "New construction and alterations", "regulation"),
+    ("Section 36.406(f) Assembly Areas", "36.406(f)", "Assembly Areas", "code"), ("Section 36.406(f)", "36.406(f)", "", "code"),
+    ("Advisory 404.2 Doors.", None, None, None), ("1991 Standards apply to", None, None, None), ("404.2.3 Clear Width ...... 12", None, None, None), ("plain text", None, None, None),
+]
+
+
+def _values(rows):
+    lit = lambda v: "NULL" if v is None else "[" + ", ".join(map(lit, v)) + "]" if isinstance(v, list) else str(v).lower() if isinstance(v, (bool, int, float)) else "'" + v.replace("'", "''") + "'"
+    return "(VALUES " + ", ".join("(" + ", ".join(map(lit, r)) + ")" for r in rows) + ")"
+
+
+@register(f"SELECT * FROM {_values(_HEADINGS)} t(line, id, title, type)")
+def heading_match(spark, d):
+    return inline(spark, [(r[0],) for r in _HEADINGS], "line string").withColumn("h", X.match_heading(F.col("line"))).select("line", "h.id", "h.title", "h.type")
+
+
+_ANCESTORS = [("216.2.1", ["216", "216.2"]), ("216", []), ("35.151(b)", ["35", "35.151"]), ("213, 603, 604, 608", []), ("35.151(b)(1)", ["35", "35.151", "35.151(b)"])]
+
+
+@register(f"SELECT id, CASE WHEN len(a) = 0 THEN '' ELSE array_to_string(a, ' > ') END AS ancestors FROM {_values(_ANCESTORS)} t(id, a)")
+def ancestor_ids(spark, d):
+    return inline(spark, [(r[0],) for r in _ANCESTORS], "id string").select("id", F.array_join(X.ancestor_ids(F.col("id")), " > ").alias("ancestors"))
+
+
+_PARAGRAPHS = [("(b) Alterations.  (1) Each facility", "b", "Alterations"), ("(c)", "c", ""), ("(B) No", None, None), ("(d) lower", None, None)]
+
+
+@register(f"SELECT * FROM {_values(_PARAGRAPHS)} t(line, letter, title)")
+def paragraph_marker(spark, d):
+    return inline(spark, [(r[0],) for r in _PARAGRAPHS], "line string").withColumn("p", X.paragraph_marker(F.col("line"))).select("line", "p.letter", "p.title")
+
+
+_PRINTED = [("116 - 2010 Standards: Titles II and III", "116"), ("2010 Standards: Titles II and III - 117Department of Justice", "117"), ("56 - Guidance on 2010 Standards: Title III", "56"), ("Doors 12", None)]
+
+
+@register(f"SELECT * FROM {_values(_PRINTED)} t(line, printed)")
+def printed_page(spark, d):
+    return inline(spark, [(r[0],) for r in _PRINTED], "line string").select("line", X.printed_page(F.col("line")).alias("printed"))
+
+
+@register("SELECT doc_id, sha1(source || '|' || lang || CASE WHEN o > 1 THEN '|' || o ELSE '' END) AS parent_id, o::int AS occurrence FROM (SELECT *, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS o FROM documents)")
+def deterministic_ids(spark, d):
+    numbered = ingest.occurrences(table(spark, d, "documents").select("doc_id", "source", "lang"), ["source", "lang"], ["doc_id"])
+    return numbered.select("doc_id", X.parent_id(F.col("source"), F.col("lang"), F.col("occurrence")).alias("parent_id"), "occurrence")
+
+
+@register("SELECT doc_id, row_number() OVER (PARTITION BY source, md5(text) ORDER BY doc_id)::int AS occurrence FROM documents")
+def occurrence_numbers(spark, d):
+    return ingest.occurrences(table(spark, d, "documents").select("doc_id", "source", F.md5("text").alias("h")), ["source", "h"], ["doc_id"]).select("doc_id", "occurrence")
+
+
+@register("SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN a.doc_id IS NULL THEN 'insert' WHEN b.doc_id IS NULL THEN 'delete' WHEN a.h = b.h THEN 'keep' ELSE 'update' END AS action FROM (SELECT doc_id, md5(text) AS h FROM documents WHERE lang <> 'fr') a FULL JOIN (SELECT doc_id, md5(CASE WHEN lang = 'es' THEN text || '.' ELSE text END) AS h FROM documents WHERE lang <> 'de') b ON a.doc_id = b.doc_id")
+def upsert_stale_diff(spark, d):
+    """Two versions of a store: the first lacks French texts, the second German ones, Spanish ones have changed."""
+    t = table(spark, d, "documents").select("doc_id", "text", "lang")
+    old = t.where("lang != 'fr'").select("doc_id", F.md5("text").alias("h"))
+    new = t.where("lang != 'de'").select("doc_id", F.md5(F.when(F.col("lang") == "es", F.concat("text", F.lit("."))).otherwise(F.col("text"))).alias("h"))
+    return ingest.upsert_diff(old, new, "doc_id", "h")
+
+
+@register("WITH s AS (SELECT source, doc_id AS id, length(text)::int AS size FROM documents), a AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY size, id) AS p, row_number() OVER (PARTITION BY source ORDER BY size DESC, id) AS r FROM s) SELECT source, 'shortest' AS kind, p::int AS pos, id, size FROM a WHERE p <= 5 UNION ALL SELECT source, 'longest', r::int, id, size FROM a WHERE r <= 5")
+def section_report(spark, d):
+    return ingest.report(table(spark, d, "documents").select("source", F.col("doc_id").alias("id"), F.length("text").alias("size")))
+
+
+@register()
+def section_fsm(spark, d):
+    pages = table(spark, d, "documents").select("source", F.col("doc_id").alias("page"), "text")
+    registry = table(spark, d, "documents").select("source").distinct().select("source", F.concat(F.lit("Code "), "source").alias("code_name"), F.lit(2010).alias("edition_year"))
+    return ingest.parents(ingest.split_sections(ingest.clean(pages)), registry).select("parent_id", "source", "section_id", "breadcrumb", "page_start", "page_end", "occurrence", "searchable", F.length("text").alias("n"))
+
+
+@register()
+def chunk_children(spark, d):
+    c = ingest.children(docs(spark, d).select("parent_id", "text"), "parent_id")
+    return c.select("parent_id", "child_index", "start_char", X.child_id(F.col("parent_id").cast("string"), F.col("child_index")).alias("child_id"), F.length("text").alias("n"))
+
+
+# --- queries, citations, grounding, review
+
+_QUESTIONS = [
+    (1, "How high can a light switch be in 404.2.3?", "How high can a light switch be in 404.2.3? (operable parts, controls)", "404.2.3"),
+    (2, "Where do GFCI outlets go? See 35.151(B) and 35.151(b)", "Where do GFCI (ground-fault circuit-interrupter) outlets go? See 35.151(B) and 35.151(b) (operable parts, convenience receptacles)", "35.151(b)"),
+    (3, "A toilet and a bathroom of 1.5 inches", "A toilet and a bathroom of 1.5 inches (toilet room, water closet)", ""),
+]
+
+
+@register(f"SELECT * FROM {_values(_QUESTIONS)} t(query_id, original, text, refs)")
+def glossary_expand(spark, d):
+    q = normalise(inline(spark, [r[:2] for r in _QUESTIONS], "query_id int, text string"), Config())
+    return q.select("query_id", "original", "text", F.array_join("section_refs", " ").alias("refs"))
+
+
+_REFS = [(1, 0, "35.151(b)(4)", "p2"), (2, 0, "604.5", "p3"), (3, 0, "604.5.1", None)]
+
+
+@register("SELECT * FROM (VALUES (1, 'p2', true, 1), (1, 'p1', false, 2), (1, 'p3', false, 3), (2, 'p3', true, 1)) t(query_id, parent_id, pinned, fused_pos)")
+def exact_ref_pin(spark, d):
+    f = inline(spark, [(1, "p1", 0.5, 1), (1, "p3", 0.4, 2)], "query_id int, parent_id string, rrf double, fused_pos int")
+    refs = inline(spark, [r[:3] for r in _REFS], "query_id int, pos int, ref string")
+    s = inline(spark, [("35.151", "p1"), ("35.151(B)", "p2"), ("604.5", "p3")], "section_id string, parent_id string")
+    return search.pin(f, refs, s).select("query_id", "parent_id", "pinned", "fused_pos")
+
+
+_CITED = [("Doors are 32 inches [S1, S2; S9] wide [S1].", "S1 S2", "S9"), ("None.", "", ""), ("[ S3 ] and [S3]", "S3", "")]
+
+
+@register(f"SELECT * FROM {_values(_CITED)} t(text, valid, invalid)")
+def citation_parse(spark, d):
+    valid = F.array(*map(F.lit, ("S1", "S2", "S3")))
+    labels = X.cited_labels(F.col("text"))
+    return inline(spark, [(r[0],) for r in _CITED], "text string").select("text", F.array_join(F.array_intersect(labels, valid), " ").alias("valid"), F.array_join(F.array_except(labels, valid), " ").alias("invalid"))
+
+
+_OUTCOMES = [
+    ("Door openings shall provide a clear width of 32 inches (815 mm) minimum.", "verified", "30", "in", "fail"), ("Door openings shall provide a clear width of 32 inches (815 mm) minimum.", "verified", "32", "in", "pass"),
+    ("The maximum running slope is 1:12.", "verified", "1:10", "ratio", "fail"), ("Grab bars between 33 and 36 inches.", "verified", "34", "in", "pass"),
+    ("Rise 33 to 36 inches.", "verified", "37", "in", "fail"), ("Use at least 32 inches or at least 36 inches.", "verified", "34", "in", "needs_review"),
+    ("At least 32 inches.", "needs_review", "34", "in", "needs_review"), (None, None, "34", "in", "needs_review"),
+]
+
+
+@register(f"SELECT coalesce(requirement, '') AS requirement, value, status FROM {_values(_OUTCOMES)} t(requirement, grounding, value, unit, status)")
+def outcome_rules(spark, d):
+    rows = inline(spark, [(*r[:4], None) for r in _OUTCOMES], "requirement string, grounding string, value string, unit string, refusal string")
+    return rows.withColumn("o", answers.outcome_udf()("requirement", "grounding", "value", "unit", "refusal")).select(F.coalesce("requirement", F.lit("")).alias("requirement"), "value", "o.status")
+
+
+@register("SELECT * FROM (VALUES (1, 'verified', ''), (2, 'needs_review', '48 inches'), (3, 'refused', '99 lb')) t(answer_id, status, flagged)")
+def grounding_status(spark, d):
+    said = inline(spark, [(1, "Doors need 32 inches [S1]. Slope is 1:12. [S2]"), (2, "Height is 48 inches [S1]."), (3, "Force is 99 lb [S1].")], "answer_id int, text string")
+    src = inline(spark, [(i, s, t) for i in (1, 2, 3) for s, t in (("S1", "clear width 32 in."), ("S2", "slope 1 : 12; 48 inches maximum"))], "answer_id int, label string, text string")
+    return answers.ground(said, src).select("answer_id", "status", F.array_join("flagged", ", ").alias("flagged"))
+
+
+_NUMBERS = [("32 inches (815 mm) minimum", "32|in 815|mm"), ("1 1/4 inch and ½ in. and 1,000 lbf", "1.25|in 0.5|in 1000|lb"), ("a slope of 1 : 12, see 404.2.3 and § 35.151(b)", "1:12|"), ("the 2010 Standards [S1]", "")]
+
+
+@register(f"SELECT * FROM {_values(_NUMBERS)} t(text, keys)")
+def extract_numbers(spark, d):
+    got = inline(spark, [(r[0],) for r in _NUMBERS], "text string").withColumn("m", answers.numbers_udf()("text"))
+    return got.select("text", F.array_join(F.transform("m", lambda x: F.concat(x["value"], F.lit("|"), F.coalesce(x["unit"], F.lit("")))), " ").alias("keys"))
+
+
+@register("SELECT * FROM (VALUES ('a', 'pass', 'approve'), ('b', 'fail', 'edit')) t(item_id, status, action)")
+def decision_merge(spark, d):
+    found = inline(spark, [("a", "pass"), ("b", "needs_review")], "item_id string, status string")
+    told = inline(spark, [("a", 1, "edit", "fail", None), ("a", 2, "approve", None, None), ("b", 1, "edit", "fail", "measured again")], "item_id string, pos int, action string, outcome string, note string")
+    return answers.apply_decisions(found, told).select("item_id", "status", "action")
+
+
+@register()
+def context_windows(spark, d):
+    best = line_hits(spark, d, 5).join(lines_of(spark, d), ["child_id", "parent_id"]).join(docs(spark, d).select("parent_id", F.col("text").alias("whole")), "parent_id")
+    spans = best.withColumn("a", F.expr("locate(text, whole) - 1")).groupBy("query_id", "parent_id").agg(
+        F.first("whole").alias("text"), F.transform(F.array_sort(F.collect_list(F.struct("rank", F.col("a").alias("start"), (F.col("a") + F.length("text")).alias("end")))), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias("spans"))
+    return answers.contexts(spans.withColumn("pinned", F.lit(False))).select("query_id", "parent_id", F.length("context").alias("n"), "window_start", "window_end")
+
+
+# --- evaluation: an item's documents are those that hold its first 60 characters
+
+_EXP = "ex AS (SELECT item_id AS query_id, doc_id AS parent_id FROM benchmark b JOIN documents d ON contains(d.text, substr(b.text, 1, 60)))"
+_RES = f"{_UNITS}, {_BM25}, {_RANKED}, {_EXP}, rk AS (SELECT query_id, min(rank) AS answer_rank FROM h JOIN ex ON ex.query_id = h.query_id AND ex.parent_id = h.id WHERE rank <= 20 GROUP BY ALL), rs AS (SELECT item_id AS query_id, item_id % 3 AS type, item_id IN (SELECT query_id FROM ex) AS in_corpus, answer_rank, (SELECT count(*) FROM h WHERE h.query_id = item_id AND rank <= 3 AND score > 40) AS n_found FROM benchmark LEFT JOIN rk ON rk.query_id = item_id)"
+_RES = _RES.replace("SELECT query_id, min(rank) AS answer_rank FROM h", "SELECT h.query_id, min(rank) AS answer_rank FROM h")
+_METRICS = "count(*) AS n, round(avg(CASE WHEN in_corpus THEN coalesce((answer_rank <= 1)::int, 0) END), 6) AS hit_1, round(avg(CASE WHEN in_corpus THEN coalesce((answer_rank <= 3)::int, 0) END), 6) AS hit_3, round(avg(CASE WHEN in_corpus THEN coalesce(1.0::double / answer_rank, 0) END), 6) AS mrr, round(avg(CASE WHEN NOT in_corpus THEN (n_found = 0)::int END), 6) AS refusal_accuracy, round(avg(CASE WHEN in_corpus THEN (n_found = 0)::int END), 6) AS false_refusals, count(*) FILTER (CASE WHEN in_corpus THEN coalesce(answer_rank <= 3, false) ELSE n_found = 0 END) AS correct"
+
+
+def results(spark, d):
+    hits = doc_hits(spark, d)
+    items, texts = table(spark, d, "benchmark"), table(spark, d, "documents")
+    # the stated item set against all rows, in blocks: substring containment has no key to join on
+    expected = texts.join(F.broadcast(items.select(F.col("item_id").alias("query_id"), F.substring("text", 1, 60).alias("head"))), F.expr("contains(text, head)")).select("query_id", F.lit(1).alias("grp"), F.col("doc_id").alias("parent_id"))
+    groups = expected.select("query_id").distinct().withColumn("in_corpus", F.lit(True))
+    first = hits.join(expected, ["query_id", "parent_id"], "left_semi").groupBy("query_id").agg(F.min("rank").alias("answer_rank"))
+    n = hits.where("rank <= 3 and score > 40").groupBy("query_id").agg(F.count(F.lit(1)).alias("n_found"))
+    all_ = items.select(F.col("item_id").alias("query_id"), (F.col("item_id") % 3).alias("type"))
+    return all_.join(groups, "query_id", "left").join(first, "query_id", "left").join(n, "query_id", "left").select("query_id", "type", F.coalesce("in_corpus", F.lit(False)).alias("in_corpus"), "answer_rank", F.coalesce("n_found", F.lit(0)).alias("n_found"))
+
+
+@register(f"WITH {_RES} SELECT {_METRICS} FROM rs")
+def eval_metrics(spark, d):
+    return evalx.metrics(results(spark, d))
+
+
+@register(f"WITH {_RES} SELECT type, {_METRICS} FROM rs GROUP BY type")
+def eval_by_type(spark, d):
+    return evalx.metrics(results(spark, d), ["type"])
+
+
+@register("SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, count(value) AS n FROM events GROUP BY event_type")
+def latency_percentiles(spark, d):
+    return evalx.percentiles(table(spark, d, "events"), "value", ["event_type"])
+
+
+@register(f"WITH {_UNITS}, {_BM25}, {_RANKED} SELECT threshold::double AS threshold, query_id, least(count(*), 3) AS n_found, min(rank) AS first_position FROM h, (SELECT unnest(range(10, 60, 10)) AS threshold) WHERE rank <= 20 AND score >= threshold GROUP BY ALL")
+def threshold_sweep(spark, d):
+    t = spark.range(10, 60, 10).select(F.col("id").cast("double").alias("threshold"))
+    return evalx.sweep(doc_hits(spark, d).withColumn("position", F.col("rank").cast("long")), t, 3)
+
+
+@register(rf"SELECT role AS grp, sum(len({_tok('text', False)}))::bigint AS tokens_in, sum(len({_tok('text')}))::bigint AS tokens_out, round((sum(len({_tok('text', False)})) * 1.0::double + sum(len({_tok('text')})) * 5.0::double) / 1e6, 8) AS cost_low FROM conversations GROUP BY role")
+def usage_rollup(spark, d):
+    t = F.col("text")
+    rows = table(spark, d, "conversations").select(F.col("role").alias("grp"), F.size(X.tokenize(t)).cast("long").alias("tokens_in"), F.size(X.tokenize(t, True)).cast("long").alias("tokens_out"))
+    return evalx.usage(rows, {"low": (1.0, 5.0)})
+
+
+@register("SELECT source, lang, count(*) FILTER (length(text) > 400) AS searchable, count(*) AS n FROM documents GROUP BY ALL")
+def searchable_filter(spark, d):
+    return docs(spark, d).groupBy("source", "lang").agg(F.count_if(F.length("text") > 400).alias("searchable"), F.count(F.lit(1)).alias("n"))
+
+
+@register("SELECT d.doc_id, l.quality, l.toxic, length(d.text)::int AS n FROM documents d JOIN labels l ON l.doc_id = d.doc_id")
+def docstore_lookup(spark, d):
+    return table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").select("doc_id", "quality", "toxic", F.length("text").alias("n"))
 
 
 def queries() -> dict:
-    return {}
+    return dict(Q)
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(O)

@@ -1 +1 @@
-"""TODO"""
+"""Structured Streaming: an addition of this engine; the batch operators do the work."""
