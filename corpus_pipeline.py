@@ -25,8 +25,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without letters and those whose language is uncertain; fills in a null lang."""
     model = langid.learn(docs, F.lit(True))
     told = langid.label_rows(docs, model)
-    ok = (F.col("_lang_pred") != "und") & (F.col("_lang_score") >= LEAST_SCORE)
-    return told.where(ok).withColumn("lang", F.coalesce("lang", "_lang_pred")).select(*docs.columns)
+    ok = (F.col(langid.LABEL) != "und") & (F.col(langid.LABEL_SCORE) >= LEAST_SCORE)
+    return told.where(ok).withColumn("lang", F.coalesce("lang", langid.LABEL)).select(*docs.columns)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,12 +44,13 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows with a null doc_id, and further rows of one doc_id, stay out of this stage's result.
     """
+    own, text, gone = (f"__docquarry_{c}__" for c in ("id", "text", "gone"))  # no input should have such columns
     told = recompress.dedup_words(docs.where("doc_id is not null"), keep_text=True).dropDuplicates(["doc_id"])
-    kept = told.where("n_removed = 0 or n_removed < n_words").select(F.col("doc_id").alias("_id"), F.col("kept_text").alias("_text"), "n_removed")
+    kept = told.where("n_removed = 0 or n_removed < n_words").select(F.col("doc_id").alias(own), F.col("kept_text").alias(text), F.col("n_removed").alias(gone))
     rest = docs.drop("text").dropDuplicates(["doc_id"])
-    joined = rest.join(kept, F.col("doc_id") == F.col("_id")).withColumn("text", F.col("_text"))
+    joined = rest.join(kept, F.col("doc_id") == F.col(own)).withColumn("text", F.col(text))
     if "n_chars" in docs.columns:
-        joined = joined.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
+        joined = joined.withColumn("n_chars", F.when(F.col(gone) > 0, F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
     return joined.select(*docs.columns)
 
 

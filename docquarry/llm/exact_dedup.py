@@ -24,6 +24,7 @@ from docquarry.session import ship, stash
 
 #: Keys that one shard's filter holds, on average.
 KEYS_PER_SHARD = 200_000
+NO_ID = (1 << 63) - 1
 
 
 def normalised(name: str = "text"):
@@ -32,7 +33,16 @@ def normalised(name: str = "text"):
 
 def digests(documents: DataFrame) -> DataFrame:
     """doc_id and the SHA-256 of the normalised text."""
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(normalised().cast("binary"), 256)).alias("digest"))
+    return documents.select(_id().alias("doc_id"), _digest(normalised()).alias("digest"))
+
+
+def _id():
+    """doc_id, the largest number for a null one."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+
+
+def _digest(text):
+    return F.unhex(F.sha2(text.cast("binary"), 256))
 
 
 def _key(table: pa.Table) -> np.ndarray:
@@ -84,11 +94,14 @@ def exact_dedup(snapshot: DataFrame, incoming: DataFrame) -> DataFrame:
     positive = screen(new, stash(build_filters(old, shards), "filters"), shards)
     pairs = stash(positive.alias("a").join(old.alias("b"), "digest").select("digest", F.col("a.rep").alias("new_rep"), F.col("b.rep").alias("old_rep")), "pairs")
     n_pairs = pairs.count()
-    new_texts = fetch_texts(incoming, pairs.select(F.col("new_rep").alias("doc_id")).distinct(), n_pairs)
-    old_texts = fetch_texts(snapshot, pairs.select(F.col("old_rep").alias("doc_id")).distinct(), n_pairs)
-    said = lambda t, c: t.select(F.col("doc_id").alias(c), normalised().alias(f"{c}_text"))
+    new_texts = fetch_texts(incoming.withColumn("doc_id", _id()), pairs.select(F.col("new_rep").alias("doc_id")).distinct(), n_pairs)
+    old_texts = fetch_texts(snapshot.withColumn("doc_id", _id()), pairs.select(F.col("old_rep").alias("doc_id")).distinct(), n_pairs)
+
+    def said(texts: DataFrame, name: str) -> DataFrame:  # by digest too: rows without an id, or of one id, may differ
+        return texts.select(F.col("doc_id").alias(name), normalised().alias(f"{name}_text")).withColumn("digest", _digest(F.col(f"{name}_text")))
+
     equal = (
-        pairs.join(said(new_texts, "new_rep"), "new_rep").join(said(old_texts, "old_rep"), "old_rep")
+        pairs.join(said(new_texts, "new_rep"), ["new_rep", "digest"]).join(said(old_texts, "old_rep"), ["old_rep", "digest"])
         .where(F.col("new_rep_text") == F.col("old_rep_text")).select("digest", "old_rep").distinct()
     )
     fresh_n = new.select("digest", F.col("n").alias("new_n"))
@@ -104,7 +117,8 @@ def exact_dedup(snapshot: DataFrame, incoming: DataFrame) -> DataFrame:
         "verdict",
     )
     out = join_unique(rows, verdict, ["digest", "fresh"], "own_n", n_rows)
-    return out.select("doc_id", "digest", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"))
+    null = lambda c: F.nullif(F.col(c), F.lit(NO_ID)).alias(c)
+    return out.select(null("doc_id"), "digest", null("keep_id"), "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"))
 
 
 def split_at(documents: DataFrame):

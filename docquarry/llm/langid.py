@@ -6,8 +6,8 @@ candidate languages, its word score (or its n-gram score) gives log probabilitie
 languages, with SWITCH_PENALTY for each change, labels spans. The document's language has the most letters in its spans;
 the score is the mean of its share of the letters and of its mean word posterior.
 
-A path that stays in one language is accepted at once where no other language gains more than the penalty on any run of
-words (then no switch can pay); only other documents go through the full Viterbi recursion, in lockstep.
+The language with the largest sum is accepted at once where no other gains more than half the penalty on any run of words
+(k runs of others need k - 1 switches at least, so none can pay); only other documents go through the full Viterbi recursion, in lockstep.
 
 Edge cases: null text or text without letters: `und` with score 1.0. Words of a script that no learned language uses count
 for no language; a text of only such words goes to the language with the largest prior. With no labelled row at all every
@@ -36,6 +36,8 @@ MODEL_WORDS = 40_000
 #: Words whose scores a worker remembers, before it starts afresh.
 CACHE = 200_000
 SWITCH_PENALTY = 12.0
+#: Columns that label_rows() adds; names that no input should have.
+LABEL, LABEL_SCORE = "__docquarry_lang__", "__docquarry_lang_score__"
 WORD = re.compile(r"[^\W\d_]+")
 #: First code points of blocks, and their script. Fixed values of the Unicode standard.
 SCRIPT_STARTS = [
@@ -185,7 +187,7 @@ def label(scores: np.ndarray, penalty: float = SWITCH_PENALTY) -> np.ndarray:
     lead = int(scores.sum(axis=0).argmax())
     gain = np.cumsum(scores.astype(np.float64) - scores[:, [lead]], axis=0)
     low = np.minimum.accumulate(np.concatenate([np.zeros((1, gain.shape[1])), gain[:-1]]), axis=0)
-    if (gain - low).max() <= penalty:
+    if (gain - low).max() <= penalty / 2:
         return np.full(len(scores), lead, np.int64)
     return viterbi(scores, penalty)
 
@@ -254,11 +256,11 @@ def predict_table(documents: DataFrame, model: dict) -> DataFrame:
 
 
 def label_rows(documents: DataFrame, model: dict) -> DataFrame:
-    """The rows themselves with _lang_pred and _lang_score added."""
+    """The rows themselves with the columns LABEL and LABEL_SCORE added."""
     spark = documents.sparkSession
     ship(spark)
     held = spark.sparkContext.broadcast(model)
-    schema = T.StructType([*documents.schema.fields, T.StructField("_lang_pred", T.StringType()), T.StructField("_lang_score", T.DoubleType())])
+    schema = T.StructType([*documents.schema.fields, T.StructField(LABEL, T.StringType()), T.StructField(LABEL_SCORE, T.DoubleType())])
     names = schema.names
     out = lambda piece, lang, score: pa.RecordBatch.from_arrays([*piece.columns, lang, score], names=names)
     return documents.mapInArrow(_labeller(held, out), schema)
