@@ -1,0 +1,145 @@
+import pytest
+from pyspark.sql import functions as F
+
+from docquarry.functions import quantities as Q, text as X
+from docquarry.operators import answers, evalx, ingest, search
+from docquarry.plans.retrieve import Config, retrieve
+from docquarry.sources import stores
+
+
+@pytest.mark.parametrize("text, keys", [
+    ("32 inches", ["32 in"]), ("1 1/4 in.", ["1.25 in"]), ("½ inch", ["0.5 in"]), ("3/8\"", ["0.375 in"]), ("1,000 lbf", ["1000 lb"]), ("slope 1 : 12", ["1:12 None"]),
+    ("22.2 N", ["22.2 N"]), ("5 percent", ["5 %"]), ("see 404.2.3", []), ("[S1] § 35.151(b)", []), ("the 2010 Standards", []), ("1. Doors", []), ("28 CFR part 36", []), ("comply with 302 and 303", []),
+])
+def test_numbers(text, keys):
+    assert [f"{m['value']} {m['unit']}" for m in Q.mentions(text)] == keys
+
+
+@pytest.mark.parametrize("requirement, value, unit, status", [
+    ("clear width of 32 inches (815 mm) minimum", "31.5", "in", "fail"), ("not steeper than 1:12", "1:20", "ratio", "pass"), ("not a minimum height, but a maximum height of 17 inches", "18", "in", "fail"),
+    ("between 33 and 36 inches", "33", "in", "pass"), ("33-36 inches", "40", "in", "fail"), ("32 inches", "32", "in", "needs_review"), ("at least 40 inches and at most 30 inches", "35", "in", "needs_review"),
+])
+def test_outcomes(requirement, value, unit, status):
+    assert Q.outcome(requirement, "verified", value, unit)["status"] == status
+
+
+@pytest.mark.parametrize("lengths, total, shares", [([500, 6000, 6000], 6000, [500, 2750, 2750]), ([100], 50, [50]), ([], 10, []), ([10, 10], 100, [10, 10]), ([5, 5, 5], 2, [0, 1, 1])])
+def test_budget(lengths, total, shares):
+    assert answers.budget(lengths, total) == shares
+
+
+def test_window_and_snap():
+    assert answers.window(1000, [(400, 450), (460, 500)], 200) == (350, 550)
+    assert answers.window(1000, [(0, 50)], 200) == (0, 200)
+    text = "a" * 50 + "\n" + "b" * 50 + "\n" + "c" * 300
+    assert answers.snap(text, 60, 70) == (51, 101)
+    assert answers.snap("x" * 1000, 400, 500) == (400, 500)
+
+
+def test_claims_join_citations():
+    assert answers.claims("Width is 32 inches.\n[S1].") == [("Width is 32 inches. [S1].", ["S1"])]
+
+
+def test_bm25_negative_idf_floor(spark):
+    rows = spark.createDataFrame([("c1", ["a", "b", "c"]), ("c2", ["a", "b", "d"]), ("c3", ["a", "x"]), ("c4", ["y"])], "id string, tokens array<string>")
+    stats = {r["term"]: r["idf"] for r in search.term_stats(search.postings(rows, "id", F.col("tokens")), "id").collect()}
+    import math
+
+    raw = {t: math.log(4 - n + 0.5) - math.log(n + 0.5) for t, n in {"a": 3, "b": 2, "c": 1, "d": 1, "x": 1, "y": 1}.items()}
+    assert stats["a"] == pytest.approx(0.25 * sum(raw.values()) / 6)
+    assert stats["b"] == 0.0
+
+
+def test_filter_before_top_k(spark):
+    rows = [(f"c{i}", ["door"] + ["x"] * i, "S" if i < 5 else "G") for i in range(7)] + [(f"d{i}", ["wall"], "S") for i in range(9)]
+    units = spark.createDataFrame(rows, "id string, tokens array<string>, code_name string")
+    posted = search.postings(units, "id", F.col("tokens"))
+    q = spark.createDataFrame([(1, "door", 1)], "query_id int, term string, qn int")
+    hits = search.bm25(posted, search.term_stats(posted, "id"), "id", q, 2, units.where(search.filter_column({"code_name": "G"})).select("id"))
+    assert [r["id"] for r in hits.orderBy("rank").collect()] == ["c5", "c6"]
+
+
+def test_filters_raise():
+    with pytest.raises(ValueError, match="Unknown filter keys"):
+        search.filter_column({"colour": 1})
+    with pytest.raises(ValueError):
+        search.order(None, "best")
+
+
+def test_fusion(spark):
+    a = spark.createDataFrame([(1, "p1", 1), (1, "p2", 2)], "query_id int, parent_id string, rank int")
+    b = spark.createDataFrame([(1, "p2", 1), (1, "p3", 2)], "query_id int, parent_id string, rank int")
+    assert [r["parent_id"] for r in search.fuse({"a": a, "b": b}).orderBy("fused_pos").collect()] == ["p2", "p1", "p3"]
+
+
+def test_sections():
+    pages = [(1, ["Preface", "404.2.3 Clear Width. Doors", "more"]), (2, ["404.2.3 Clear Width. Doors", "rest", "§ 35.151 New construction.", "(a) Design.", "(c) x is lower", "(c) Other."]), (3, ["216 Signs", "INDEX TO THE 2010 STANDARDS", "404.2.3 Clear Width. 12"])]
+    got = ingest.sections_of(pages)
+    assert [s["section_id"] for s in got] == ["front-matter", "404.2.3", "35.151", "35.151(a)", "35.151(c)", "216", "back-matter"]
+    assert got[1]["continuations"] == 1 and got[1]["pages"] == [1, 2]
+    assert [s["section_id"] for s in ingest.sections_of([(1, ["x"]), (2, [])])] == ["page-1"]
+    assert ingest.join_split_headings(["40", "4.3.2 Maneuvering Clearance. Text", "x"]) == ["404.3.2 Maneuvering Clearance. Text", "x"]
+    assert ingest.join_split_headings(["305.1 Gene", "ral."]) == ["305.1 General."]
+
+
+@pytest.mark.parametrize("letter, last, ok", [("a", None, True), ("c", "a", True), ("i", "b", False), ("i", "h", True), ("a", "b", False), ("v", "u", True), ("x", "a", False)])
+def test_letters(letter, last, ok):
+    assert ingest.next_letter(letter, last) is ok
+
+
+def test_parents_and_breadcrumbs(spark):
+    pages = spark.createDataFrame([("f", 1, ["216 Signs", "216.2 Designations. Rooms"]), ("f", 2, ["216.2.1 Rooms. Text here"])], "source string, page int, lines array<string>")
+    reg = spark.createDataFrame([("f", "ADA", 2010)], stores.REGISTRY)
+    rows = {r["section_id"]: r for r in ingest.parents(ingest.split_sections(pages), reg).collect()}
+    assert rows["216.2.1"]["breadcrumb"] == "ADA > 216 Signs > 216.2 Designations > 216.2.1 Rooms"
+    assert not rows["216"]["searchable"] and rows["216.2"]["searchable"]
+
+
+def test_chunks():
+    text = ("word " * 300).strip() + "\n\n" + "next " * 50
+    got = ingest.chunk(text)
+    assert all(len(t) <= 400 and text[a : a + len(t)] == t for a, t in got)
+    covered = {i for a, t in got for i in range(a, a + len(t))}
+    assert all(i in covered for i, c in enumerate(text) if not c.isspace())
+
+
+def test_stores_round_trip(spark, tmp_path):
+    parents = spark.createDataFrame([("p1", "door width"), ("p2", "slope")], "parent_id string, text string")
+    kids = parents.select("parent_id", F.lit(0).alias("child_index"), X.child_id(F.col("parent_id"), F.lit(0)).alias("child_id"), "text")
+    counts = {r["store"]: r["n"] for r in stores.write_stores(parents, kids, str(tmp_path)).collect()}
+    assert counts == {"parents": 2, "children": 2, "postings": 3, "term_stats": 3}
+
+
+def test_retrieve_threshold(spark):
+    units = spark.createDataFrame([(i, t) for i, t in enumerate(["door width minimum", "door", "wall colour", "ramp slope", "sign text", "lift"])], "parent_id long, text string")
+    q = spark.createDataFrame([(1, "minimum door width")], "query_id long, text string")
+    assert [r["parent_id"] for r in retrieve(q, units, Config(threshold=2.0)).collect()] == [0]
+
+
+def test_metrics(spark):
+    rows = spark.createDataFrame([(True, 1, 3), (True, 3, 3), (True, None, 3), (True, None, 0), (False, None, 0), (False, None, 2)], "in_corpus boolean, answer_rank int, n_found int")
+    m = evalx.metrics(rows).first()
+    assert (m["hit_1"], m["hit_3"], m["mrr"], m["refusal_accuracy"], m["false_refusals"]) == (0.25, 0.5, round((1 + 1 / 3) / 4, 6), 0.5, 0.25)
+
+
+def test_rounds(spark):
+    q = spark.createDataFrame([(1, "good"), (2, "bad")], "query_id int, text string")
+    got = answers.rounds(q, lambda d: d.withColumn("hit", F.col("text")), lambda d: d.where("hit = 'good'"), lambda d: d.withColumn("text", F.lit("good")))
+    assert {(r["query_id"], r["round"]) for r in got.collect()} == {(1, 0), (2, 1)}
+
+
+def test_decisions_must_match(spark):
+    f = spark.createDataFrame([("a", "pass")], "item_id string, status string")
+    d = spark.createDataFrame([("b", 1, "approve", None, None)], "item_id string, pos int, action string, outcome string, note string")
+    with pytest.raises(ValueError, match="unknown"):
+        answers.apply_decisions(f, d)
+
+
+def test_stream_ingest(spark, tmp_path):
+    from docquarry.streaming.ingest import watch
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.md").write_text("216 Signs\ntext")
+    seen = []
+    watch(spark, str(tmp_path / "in"), str(tmp_path / "cp"), lambda pages, i: seen.extend(pages.collect())).awaitTermination(60)
+    assert [(r["source"], r["text"]) for r in seen] == [("a.md", "216 Signs\ntext")]
