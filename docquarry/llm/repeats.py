@@ -18,6 +18,8 @@ entries, never texts of other documents, meet in a task. Everything is keyed, so
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import zlib
 
 import numpy as np
@@ -29,7 +31,7 @@ from docquarry.llm.common import arrow_bytes, mix64
 from docquarry.session import parts, ship
 
 #: Bytes of text for which there is one bucket and one shard.
-BYTES_PER_BUCKET = 8 << 20
+BYTES_PER_BUCKET = 4 << 20
 #: Bytes of a document that are looked at together; longer ones are cut with an overlap.
 PIECE = 1 << 22
 #: Bytes of documents that are looked at together, about.
@@ -78,6 +80,13 @@ _WIRE = pa.schema([("kind", pa.int32()), ("part", pa.int64()), ("blob", pa.binar
 WIRE = "kind int, part long, blob binary"
 
 
+def spare() -> None:
+    """Give freed memory back to the system between groups; a worker takes one after the other."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def wire(rows: list[tuple[int, int, bytes]]) -> pa.Table:
     return pa.Table.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], schema=_WIRE)
 
@@ -172,6 +181,7 @@ def _answer(op: Windows, buckets: int):
         blobs = table["blob"].to_pylist()
         if kind == 1:
             return wire([(1, part, b) for b in blobs])
+        spare()
         anchor, digest, doc = unpack(blobs, _ENTRY)
         del blobs
         order = np.lexsort((doc, digest))
@@ -210,6 +220,7 @@ def _again(row: np.ndarray, start: np.ndarray, digest: np.ndarray) -> np.ndarray
 def _send(op: Windows, shards: int):
     def run(key, texts, replies):
         part = int(key[0].as_py())
+        spare()
         doc, digest, code = unpack(replies["blob"].to_pylist(), _REPLY)
         ids, data = texts["doc_id"].to_numpy(), arrow_bytes(texts["text"])
         crcs = np.array([zlib.crc32(d) for d in data], np.uint32)
@@ -285,6 +296,7 @@ def _compare(op: Windows, buckets: int):
         blobs = table["blob"].to_pylist()
         if kind == 1:
             return wire([(1, part, b) for b in blobs])
+        spare()
         heads, contents = [], []
         for blob in blobs:
             n = int(np.frombuffer(blob, np.int64, 1)[0])
