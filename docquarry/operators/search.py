@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from docquarry.session import spread, stash
+
 FILTER_KEYS = ("code_name", "edition_year", "section_type", "lang", "source")
 K1, B, EPSILON, RRF_K = 1.5, 0.75, 0.25, 60
 
@@ -29,6 +31,11 @@ def postings(units: DataFrame, id_col: str, tokens: Column) -> DataFrame:
     return terms.groupBy(id_col, "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def index(units: DataFrame, id_col: str, tokens: Column) -> DataFrame:
+    """postings(), written once to the shared folder: statistics, lengths and scores all read them, texts are parsed once."""
+    return stash(postings(spread(units), id_col, tokens), "postings")
+
+
 def term_stats(posted: DataFrame, id_col: str) -> DataFrame:
     """term, df, idf. A negative idf becomes EPSILON times the average of all terms' raw values, which may be negative."""
     units = posted.select(id_col, "dl").distinct().agg(F.count(F.lit(1)).alias("n"))

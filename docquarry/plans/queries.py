@@ -79,14 +79,14 @@ _VEC = _VEC.format(asked="q.vec_id IN (SELECT item_id FROM benchmark)")
 
 def doc_hits(spark, d, k=20, filters=None):
     units = docs(spark, d)
-    posted = search.postings(units, "parent_id", X.tokenize(F.col("text"), True))
+    posted = search.index(units, "parent_id", X.tokenize(F.col("text"), True))
     allowed = units.where(search.filter_column(filters)).select("parent_id") if filters else None
     return search.bm25(posted, search.term_stats(posted, "parent_id"), "parent_id", search.query_tokens(bench(spark, d), X.tokenize(F.col("text"), True)), k, allowed)
 
 
 def line_hits(spark, d, k=20):
     units = lines_of(spark, d)
-    posted = search.postings(units, "child_id", X.tokenize(F.col("text"), True))
+    posted = search.index(units, "child_id", X.tokenize(F.col("text"), True))
     return search.bm25(posted, search.term_stats(posted, "child_id"), "child_id", search.query_tokens(bench(spark, d), X.tokenize(F.col("text"), True)), k).withColumn("parent_id", F.floor(F.col("child_id") / 100000))
 
 
@@ -107,7 +107,7 @@ def tokenize_counts(spark, d):
 
 @register(f"WITH {_UNITS}, {_BM25} SELECT term, df, round(idf, 6) AS idf FROM s")
 def bm25_term_stats(spark, d):
-    posted = search.postings(docs(spark, d), "parent_id", X.tokenize(F.col("text"), True))
+    posted = search.index(docs(spark, d), "parent_id", X.tokenize(F.col("text"), True))
     return search.term_stats(posted, "parent_id").select("term", "df", F.round("idf", 6).alias("idf"))
 
 

@@ -41,7 +41,7 @@ def normalise(queries: DataFrame, config: Config) -> DataFrame:
 def retrieve(queries: DataFrame, units: DataFrame, config: Config = Config(), filters: dict | None = None, vectors: DataFrame | None = None, query_vectors: DataFrame | None = None, sections: DataFrame | None = None, posted: DataFrame | None = None) -> DataFrame:
     """query_id, parent_id, final_rank and scores. units: parent_id, text and filter columns; posted: a stored index."""
     q = normalise(queries, config)
-    posted = search.postings(units, "parent_id", X.tokenize(F.col("text"), True)) if posted is None else posted
+    posted = search.index(units, "parent_id", X.tokenize(F.col("text"), True)) if posted is None else posted
     rankings = {}
     if config.keyword:
         allowed = units.where(search.filter_column(filters)).select("parent_id") if filters else None

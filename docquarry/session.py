@@ -72,5 +72,12 @@ def sweep(spark: SparkSession, since: int = 0) -> None:
     del held[since:]
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df itself, or dealt out anew where it comes from fewer files than there are cores (one file may be one task)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    files = len(df.inputFiles())
+    return df.repartition(cores) if 0 < files < cores else df
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
