@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from docquarry.session import ship
+from docquarry.session import ship, spread
 
 #: Pre-tokens of more bytes than this go through the scalar queue.
 LONG = 48
@@ -269,7 +269,7 @@ def encode_table(documents: DataFrame, vocabulary: str, pattern: str) -> DataFra
                     names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_bytes"],
                 )
 
-    docs = documents.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
+    docs = spread(documents.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text"))
     return docs.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long")
 
 

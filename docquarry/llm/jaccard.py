@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from docquarry.llm.common import GOLDEN, Rolling, arrow_bytes, fetch_texts, join_unique, mix64, word_hashes
 from docquarry.llm.components import components
-from docquarry.session import ship, stash
+from docquarry.session import ship, spread, stash
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 42, 6
@@ -219,7 +219,7 @@ def jaccard_classes(documents: DataFrame) -> DataFrame:
     spark = documents.sparkSession
     ship(spark)
     source = documents.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    described = stash(source.mapInArrow(_describe, "doc_id long, n_shingles int, digest binary, keys array<long>"), "shingled")
+    described = stash(spread(source).mapInArrow(_describe, "doc_id long, n_shingles int, digest binary, keys array<long>"), "shingled")
     has = described.where("digest is not null").select("doc_id", "digest", "n_shingles", "keys")
     classes = stash(has.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count_distinct("doc_id").alias("n"), F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys")), "classes")
     banded = classes.select("rep", F.explode("keys").alias("key"))

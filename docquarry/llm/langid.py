@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from docquarry.llm.bpe import slices
 from docquarry.llm.common import mix64
-from docquarry.session import ship
+from docquarry.session import ship, spread
 
 #: Documents from which a model is learned, about, picked by a hash of doc_id.
 SAMPLE_DOCS = 20_000
@@ -252,7 +252,7 @@ def predict_table(documents: DataFrame, model: dict) -> DataFrame:
     ship(spark)
     held = spark.sparkContext.broadcast(model)  # bounded by MODEL_WORDS and GRAM_ROWS, for each language
     out = lambda piece, lang, score: pa.RecordBatch.from_arrays([piece["doc_id"], lang, score], names=["doc_id", "lang_pred", "score"])
-    return documents.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(_labeller(held, out), "doc_id long, lang_pred string, score double")
+    return spread(documents.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")).mapInArrow(_labeller(held, out), "doc_id long, lang_pred string, score double")
 
 
 def label_rows(documents: DataFrame, model: dict) -> DataFrame:

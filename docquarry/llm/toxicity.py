@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from docquarry.llm.bpe import slices
-from docquarry.session import ship
+from docquarry.session import ship, spread
 
 #: Labelled training documents from which the lexicon and the curve are learned, about, picked by a hash of doc_id.
 SAMPLE_DOCS = 20_000
@@ -257,4 +257,4 @@ def score_table(documents: DataFrame, model: dict) -> DataFrame:
             for piece in slices(batch):
                 yield pa.RecordBatch.from_arrays([piece["doc_id"], pa.array([scorer.score(t) for t in piece["text"].to_pylist()], pa.float64())], names=["doc_id", "score"])
 
-    return documents.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, score double")
+    return spread(documents.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")).mapInArrow(run, "doc_id long, score double")

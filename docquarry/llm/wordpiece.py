@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from docquarry.llm.bpe import load_ranks, slices
-from docquarry.session import ship
+from docquarry.session import ship, spread
 
 WORD = re.compile(r"\w+|[^\w\s]")
 #: Words that a worker remembers.
@@ -104,7 +104,7 @@ def count_table(documents: DataFrame, vocabulary: str) -> DataFrame:
                     names=["doc_id", "n_words", "n_pieces"],
                 )
 
-    docs = documents.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
+    docs = spread(documents.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text"))
     return docs.mapInArrow(run, "doc_id long, n_words long, n_pieces long")
 
 
