@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -119,3 +122,12 @@ def arrow_bytes(column) -> list:
         data = np.frombuffer(chunk.buffers()[2], np.uint8) if chunk.buffers()[2] else np.zeros(0, np.uint8)
         out.extend(data[offsets[i] : offsets[i + 1]] for i in range(len(chunk)))
     return out
+
+
+def spare() -> None:
+    """Give freed memory back to the system between groups or after a task; a worker takes one after the other."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from docquarry.llm.common import GOLDEN, Rolling, arrow_bytes, fetch_texts, join_unique, mix64, word_hashes
+from docquarry.llm.common import GOLDEN, Rolling, arrow_bytes, fetch_texts, join_unique, mix64, spare, word_hashes
 from docquarry.llm.components import components
 from docquarry.session import ship, spread, stash
 
@@ -93,6 +93,7 @@ def _describe(batches):
         offsets = np.concatenate([[0], np.cumsum(np.array(has, np.int64) * BANDS)]).astype(np.int32)
         keys = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.ravel()))
         yield pa.RecordBatch.from_arrays([ids, pa.array(count, pa.int32()), pa.array(digest, pa.binary()), keys], names=["doc_id", "n_shingles", "digest", "keys"])
+    spare()
 
 
 def least_matches(steps, total: int, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> dict[int, int]:
@@ -180,6 +181,7 @@ class _Forest:
 
 def _pairs_of(table: pa.Table) -> pa.Table:
     """All links in one task's rows: per text its number of links (texts, documents) and a root of the local forest."""
+    spare()
     ids, comp, block = table["doc_id"].to_numpy(), table["comp"].to_numpy(), table["block"].to_numpy()
     pair, n = table["pair"].to_numpy(), table["n"].to_numpy()
     sets = [shingles(x) for x in arrow_bytes(table["text"])]

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from docquarry.llm.bpe import slices
-from docquarry.llm.common import mix64
+from docquarry.llm.common import mix64, spare
 from docquarry.session import ship, spread
 
 #: Documents from which a model is learned, about, picked by a hash of doc_id.
@@ -34,7 +34,7 @@ SAMPLE_DOCS = 20_000
 #: Words of a language that a model holds; rarer ones go by their n-grams.
 MODEL_WORDS = 40_000
 #: Words whose scores a worker remembers, before it starts afresh.
-CACHE = 200_000
+CACHE = 150_000
 SWITCH_PENALTY = 12.0
 #: Columns that label_rows() adds; names that no input should have.
 LABEL, LABEL_SCORE = "__docquarry_lang__", "__docquarry_lang_score__"
@@ -242,6 +242,7 @@ def _labeller(held, out):
             for piece in slices(batch):
                 got = predict_many(piece["text"].to_pylist(), scorer)
                 yield out(piece, pa.array([a for a, _ in got], pa.string()), pa.array([b for _, b in got], pa.float64()))
+        spare()
 
     return run
 

@@ -18,8 +18,6 @@ entries, never texts of other documents, meet in a task. Everything is keyed, so
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
 import zlib
 
 import numpy as np
@@ -27,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from docquarry.llm.bpe import slices
-from docquarry.llm.common import arrow_bytes, mix64
+from docquarry.llm.common import arrow_bytes, mix64, spare
 from docquarry.session import parts, ship
 
 #: Bytes of text for which there is one bucket and one shard.
@@ -80,13 +78,6 @@ _WIRE = pa.schema([("kind", pa.int32()), ("part", pa.int64()), ("blob", pa.binar
 WIRE = "kind int, part long, blob binary"
 
 
-def spare() -> None:
-    """Give freed memory back to the system between groups; a worker takes one after the other."""
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):
-        ctypes.CDLL(None).malloc_trim(0)
-
-
 def wire(rows: list[tuple[int, int, bytes]]) -> pa.Table:
     return pa.Table.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], schema=_WIRE)
 
@@ -171,6 +162,7 @@ def _entries(op: Windows, shards: int, buckets: int):
                 rows = [(0, p, blob) for p, blob in by_part(shard, [(anchor[first] & np.uint64(0xFFFFFFFF)), digest[first], doc[first]], _ENTRY)]
                 rows += [(1, p, blob) for p, blob in by_part(bucket_of(doc[later], buckets), [doc[later], digest[later], np.full(len(later), REMOVED)], _REPLY)]
                 yield from wire(rows).to_batches()
+        spare()
 
     return run
 
