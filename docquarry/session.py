@@ -9,6 +9,8 @@ import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+ARROW_ROWS = 2500
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _HERE = os.path.dirname(os.path.abspath(__file__))
 
 
@@ -18,8 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once per application."""
+    """Send this package to the Python workers, once per application.
+
+    Rows of texts are large: Arrow batches get ARROW_ROWS rows at most where the session has Spark's default of 10,000.
+    """
     sc = spark.sparkContext
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, str(ARROW_ROWS))
     if getattr(sc, "_docquarry_shipped", False):
         return
     folder = tempfile.mkdtemp(prefix="docquarry-")
