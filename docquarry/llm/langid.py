@@ -242,6 +242,9 @@ def _labeller(held, out):
             for piece in slices(batch):
                 got = predict_many(piece["text"].to_pylist(), scorer)
                 yield out(piece, pa.array([a for a, _ in got], pa.string()), pa.array([b for _, b in got], pa.float64()))
+        # models of tasks that are over must not pile up in a worker that is used again
+        _SCORERS.clear()
+        held.__dict__.pop("_value", None)
         spare()
 
     return run
