@@ -10,7 +10,8 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 
 ARROW_ROWS = 2500
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+ARROW_BYTES = 8 << 20
+_BATCH, _BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 _HERE = os.path.dirname(os.path.abspath(__file__))
 
 
@@ -22,11 +23,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def ship(spark: SparkSession) -> None:
     """Send this package to the Python workers, once per application.
 
-    Rows of texts are large: Arrow batches get ARROW_ROWS rows at most where the session has Spark's default of 10,000.
+    Rows of texts are large: Arrow batches get ARROW_ROWS rows at most where the session has Spark's default of 10,000, and
+    ARROW_BYTES at most where it has the default of 64 MB.
     """
     sc = spark.sparkContext
     if spark.conf.get(_BATCH) == "10000":
         spark.conf.set(_BATCH, str(ARROW_ROWS))
+    if spark.conf.get(_BYTES) in ("64MB", "67108864", "67108864b"):
+        spark.conf.set(_BYTES, str(ARROW_BYTES))
     if getattr(sc, "_docquarry_shipped", False):
         return
     folder = tempfile.mkdtemp(prefix="docquarry-")
