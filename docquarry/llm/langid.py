@@ -36,6 +36,8 @@ MODEL_WORDS = 40_000
 #: Words whose scores a worker remembers, before it starts afresh.
 CACHE = 150_000
 SWITCH_PENALTY = 12.0
+#: Bytes of text whose words are held together, about.
+SLICE = 1 << 20
 #: Columns that label_rows() adds; names that no input should have.
 LABEL, LABEL_SCORE = "__docquarry_lang__", "__docquarry_lang_score__"
 WORD = re.compile(r"[^\W\d_]+")
@@ -239,7 +241,7 @@ def _labeller(held, out):
         if scorer is None or scorer.model is not held.value:
             scorer = _SCORERS[0] = Scorer(held.value)
         for batch in batches:
-            for piece in slices(batch):
+            for piece in slices(batch, SLICE):
                 got = predict_many(piece["text"].to_pylist(), scorer)
                 yield out(piece, pa.array([a for a, _ in got], pa.string()), pa.array([b for _, b in got], pa.float64()))
         # models of tasks that are over must not pile up in a worker that is used again
