@@ -55,6 +55,8 @@ def fetch_texts(documents: DataFrame, ids: DataFrame, n_ids: int) -> DataFrame:
     return documents.join(small, "doc_id", "left_semi")
 
 
+#: Powers of a base that a worker keeps at most; tables for longer sequences are made anew.
+KEPT_POWERS = 1 << 21
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -67,7 +69,8 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
         p[0] = q[0] = 1
         with np.errstate(over="ignore"):
             got = (np.multiply.accumulate(p), np.multiply.accumulate(q))
-        _POWERS[base] = got
+        if size <= KEPT_POWERS:
+            _POWERS[base] = got
     return got
 
 

@@ -31,9 +31,11 @@ from docquarry.session import parts, ship
 #: Bytes of text for which there is one bucket and one shard.
 BYTES_PER_BUCKET = 4 << 20
 #: Bytes of a document that are looked at together; longer ones are cut with an overlap.
-PIECE = 1 << 22
+PIECE = 1 << 20
 #: Bytes of documents that are looked at together, about.
-CHUNK = 1 << 21
+CHUNK = 1 << 19
+#: Bytes of documents within which a task sends equal runs once, about.
+SLICE = 6 << 20
 NO_ID = np.iinfo(np.int64).max
 
 _ENTRY = [np.dtype("<u4"), np.dtype("<u8"), np.dtype("<i8")]  # anchor, digest, document
@@ -152,7 +154,7 @@ def _local_first(digest: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.nd
 def _entries(op: Windows, shards: int, buckets: int):
     def run(batches):
         for batch in batches:
-            for piece in slices(batch, 3 * CHUNK):
+            for piece in slices(batch, SLICE):
                 ids = piece["doc_id"].to_numpy(zero_copy_only=False)
                 got = [(r.anchor, r.digest, ids[number[r.piece]]) for number, _, r in op.chunks(arrow_bytes(piece["text"]))]
                 anchor, digest, doc = map(np.concatenate, zip(*got, strict=True))
