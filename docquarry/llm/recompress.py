@@ -84,6 +84,8 @@ class WordWindows(Windows):
         a, b = word_bounds(data)
         step = max(1, len(a) * PIECE // len(data))
         n = len(a) - self.width + 1
+        if n <= 0:
+            return [(0, data[:0])]  # no window, as little text as that takes
         return [(k, data[a[k] : b[min(n, k + step) + self.width - 2]]) for k in range(0, n, step)]
 
     def anchors(self, names: np.ndarray) -> np.ndarray:

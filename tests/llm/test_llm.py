@@ -165,6 +165,13 @@ def test_long_texts_are_cut_with_an_overlap(monkeypatch):
         assert sorted((tuple(r.values()) for r in got), key=repr) == want
 
 
+@pytest.mark.parametrize("text", ["w" * (repeats.SLICE + 1), " " * (repeats.PIECE + 1), "w" * repeats.PIECE + " x y"])
+def test_long_text_of_few_words(spark, text):
+    """A text above PIECE without a window of its own, alone in its batch."""
+    want = [(1, len(text.split()), 0, hashlib.sha256(" ".join(text.split()).encode()).hexdigest())]
+    assert rows_of(recompress.dedup_words(docs(spark, [(1, text)])), "doc_id", "n_words", "n_removed", "kept_sha256") == want
+
+
 def test_suffix_sorting():
     rng = random.Random(5)
     for _ in range(600):
