@@ -12,13 +12,31 @@ from docquarry.session import shared_dir, stash, table
 
 #: Documents with letters are rejected below this score only; clean text scores far above it.
 LEAST_SCORE = 0.2
+#: Column of rows' numbers; a name that no input should have.
+ROW = "__docquarry_row__"
 
 
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """docs without the doc_ids of dropped; a broadcast only below BROADCAST_ROWS, else a shuffle join."""
-    dropped = stash(dropped.select("doc_id").distinct(), "dropped")
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with a number of its own for each row, in the order of doc_id, null ones last: doc_id itself where that will do."""
+    number = F.col("doc_id").cast("long")
+    n, ids = docs.agg(F.count(F.lit(1)), F.count_distinct(number)).first()
+    if n == ids:
+        return docs.withColumn(ROW, number)
+    # the text and the row's place spread a repeated id over tasks; numbers are written, since places may change
+    order = [F.col("doc_id").asc_nulls_last(), F.col("text").asc_nulls_last(), F.monotonically_increasing_id()]
+    return stash(docs.orderBy(*order).withColumn(ROW, F.monotonically_increasing_id()), "keyed")
+
+
+def _by_row(keyed: DataFrame) -> DataFrame:
+    """What operators read: number and text of each row."""
+    return keyed.select(F.col(ROW).alias("doc_id"), "text")
+
+
+def _without(keyed: DataFrame, dropped: DataFrame) -> DataFrame:
+    """keyed without the rows whose numbers are dropped's doc_id; a broadcast only below BROADCAST_ROWS, else a shuffle join."""
+    dropped = stash(dropped.select(F.col("doc_id").alias(ROW)), "dropped")
     few = dropped.count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(dropped) if few else dropped, "doc_id", "left_anti").select(*docs.columns)
+    return keyed.join(F.broadcast(dropped) if few else dropped, ROW, "left_anti").drop(ROW)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,25 +48,24 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row with the smallest doc_id of each group of equal texts stays."""
-    return _without(docs, exact_dedup.dedup_table(docs).where("not kept"))
+    """The row with the smallest doc_id of each group of equal texts stays; one of them where rows repeat a doc_id."""
+    keyed = _keyed(docs)
+    return _without(keyed, exact_dedup.dedup_table(_by_row(keyed)).where("not kept"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each class of near copies stays."""
-    return _without(docs, jaccard.jaccard_classes(docs).where("doc_id != class_id"))
+    """The row with the smallest doc_id of each class of near copies stays."""
+    keyed = _keyed(docs)
+    return _without(keyed, jaccard.jaccard_classes(_by_row(keyed)).where("doc_id != class_id"))
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words of repeated windows go; documents that lose all their words go; others stay as they are.
-
-    Rows with a null doc_id, and further rows of one doc_id, stay out of this stage's result.
-    """
-    own, text, gone = (f"__docquarry_{c}__" for c in ("id", "text", "gone"))  # no input should have such columns
-    told = recompress.dedup_words(docs.where("doc_id is not null"), keep_text=True).dropDuplicates(["doc_id"])
-    kept = told.where("n_removed = 0 or n_removed < n_words").select(F.col("doc_id").alias(own), F.col("kept_text").alias(text), F.col("n_removed").alias(gone))
-    rest = docs.drop("text").dropDuplicates(["doc_id"])
-    joined = rest.join(kept, F.col("doc_id") == F.col(own)).withColumn("text", F.col(text))
+    """Words of repeated windows go; rows that lose all their words go; others stay as they are."""
+    text, gone = (f"__docquarry_{c}__" for c in ("text", "gone"))  # no input should have such columns
+    keyed = _keyed(docs)
+    told = recompress.dedup_words(_by_row(keyed), keep_text=True)
+    kept = told.where("n_removed = 0 or n_removed < n_words").select(F.col("doc_id").alias(ROW), F.col("kept_text").alias(text), F.col("n_removed").alias(gone))
+    joined = keyed.drop("text").join(kept, ROW).withColumn("text", F.col(text))
     if "n_chars" in docs.columns:
         joined = joined.withColumn("n_chars", F.when(F.col(gone) > 0, F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
     return joined.select(*docs.columns)

@@ -443,3 +443,20 @@ def test_pipeline_takes_odd_rows(spark):
         assert out.columns == d.columns
         out.collect()
     assert corpus_pipeline.packing_stage(spark, d, SF).count() > 0
+
+
+def test_pipeline_keeps_clean_rows_of_odd_ids(spark):
+    """Null and repeated doc_ids: each row is judged by its own text and keeps its own columns."""
+    import corpus_pipeline
+
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    clean = [(None, text(1), "n1"), (None, text(2), "n2"), (4, text(3), "a"), (4, text(4), "b"), (7, text(5), "c"), (8, None, "d")]
+    again = [(4, text(3), "a"), (9, text(4), "e"), (None, text(5), "f")]  # copies of clean rows, the first of the same doc_id
+    d = spark.createDataFrame([(i, t, "en", s) for i, t, s in again + clean], "doc_id long, text string, lang string, source string").repartition(3)
+    for stage in (corpus_pipeline.exact_copies, corpus_pipeline.near_copies, corpus_pipeline.substrings):
+        # near and substring operators take a null text as an empty one
+        got = sorted(((r.doc_id, r.text or None, r.source) for r in stage(spark, d, SF).collect()), key=repr)
+        assert got == sorted(clean, key=repr)
+    mixed = spark.createDataFrame([(5, text(6), "en", "g"), (5, text(7), "de", "h"), (6, text(7) + " " + text(8), "fr", "i")], d.schema)
+    got = sorted((r.doc_id, r.text, r.lang, r.source) for r in corpus_pipeline.substrings(spark, mixed, SF).collect())
+    assert got == [(5, text(6), "en", "g"), (5, text(7), "de", "h"), (6, text(8), "fr", "i")]
