@@ -2,7 +2,7 @@
 
 A byte goes if a string of WIDTH bytes over it also starts in a document with a smaller doc_id; strings are judged on the
 input. Windows are anchored at the least hash of their GRAM-byte strings; see repeats.py for the exchange, and suffixes.py
-for the external induced sorting with which a shard finds the strings that its documents share.
+for the induced sorting with which a shard finds the strings that its documents share.
 
 Edge cases: null and empty texts have no bytes; texts shorter than WIDTH lose nothing. Strings never cross documents.
 Rows with a null doc_id come last in the order. Repeated rows of one doc_id get results of their own and never remove
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from docquarry.llm.common import Rolling
 from docquarry.llm.repeats import NO_ID, PIECE, Runs, Windows, cut_runs, remove_repeats
-from docquarry.llm.suffixes import sorted_suffixes
+from docquarry.llm.suffixes import suffix_pieces
 
 WIDTH, GRAM = 50, 20
 
@@ -69,19 +69,33 @@ class ByteWindows(Windows):
         where = np.arange(int(sizes.sum())) + owner
         flat[where] = np.frombuffer(b"".join(contents), np.uint8).astype(np.uint16) + 2
         flat[at + sizes] = 1
-        pos, lcp = sorted_suffixes(flat, self.width)
-        of = np.searchsorted(at, pos, "right") - 1
-        # a group: suffixes next to each other that agree in WIDTH bytes
-        group = np.cumsum(lcp < self.width)
-        whole = (pos < len(flat) - 1) & (pos - at[of] + self.width <= sizes[of])
-        pos, of, group = pos[whole], of[whole], group[whole]
-        if not len(pos):
-            return tuple(np.zeros(0, np.int64) for _ in range(4))
-        doc = docs[of]
-        head = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-        least = np.repeat(np.minimum.reduceat(doc, head), np.diff(np.concatenate([head, [len(doc)]])))
-        gone = doc > least
-        of, start = of[gone], pos[gone] - at[of[gone]]
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+
+        def look(pos, lcp):
+            of = np.searchsorted(at, pos, "right") - 1
+            # a group: suffixes next to each other that agree in WIDTH bytes
+            group = np.cumsum(lcp < self.width)
+            whole = (pos < len(flat) - 1) & (pos - at[of] + self.width <= sizes[of])
+            pos, of, group = pos[whole], of[whole], group[whole]
+            if not len(pos):
+                return
+            doc = docs[of]
+            head = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+            least = np.repeat(np.minimum.reduceat(doc, head), np.diff(np.concatenate([head, [len(doc)]])))
+            gone = doc > least
+            found.append((of[gone], pos[gone] - at[of[gone]]))
+
+        open_ = []  # pieces since the last group began
+        for pos, lcp in suffix_pieces(flat, self.width):
+            new = np.flatnonzero(lcp < self.width)
+            if len(new):
+                cut = int(new[-1])
+                open_.append((pos[:cut], lcp[:cut]))
+                look(*(np.concatenate(x) for x in zip(*open_, strict=True)))
+                open_, pos, lcp = [], pos[cut:], lcp[cut:]
+            open_.append((pos, lcp))
+        look(*(np.concatenate(x) for x in zip(*open_, strict=True)))
+        of, start = (np.concatenate(x) for x in zip(*found, strict=True))
         # neighbours in one content make one span
         order = np.lexsort((start, of))
         of, start = of[order], start[order]

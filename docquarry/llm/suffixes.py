@@ -1,11 +1,14 @@
-"""Suffix order and capped common prefixes by external induced sorting.
+"""Suffix order and capped common prefixes by induced sorting with tuples on disk.
 
 sorted_suffixes() follows the induced-sorting scheme: suffixes are of type L (larger than their successor) or S; the
 leftmost S ones are sorted first, by naming their substrings in an induction of their own and recursing on the string of
 names; two sweeps then induce all others. Between the sweeps' steps, suffix tuples (position, common prefix) wait in
 monotone priority queues, one file for each first character, which go to disk beyond a memory limit. Since what is taken
 from the queues is already in order, each queue is read in the order in which it was filled. A tuple's common prefix with
-its neighbour is one more than the least common prefix between the two places from which they were induced.
+its neighbour is one more than the least common prefix between the two places from which they were induced. Tuples of type L,
+which the second sweep takes in the opposite order, and the result wait in spools that go to disk beyond the same limit.
+
+The string, its types, the leftmost S suffixes and their names stay in memory: this part isn't external.
 
 All steps move whole arrays: a queue is emptied in waves, each wave induces the next.
 
@@ -42,7 +45,15 @@ class Queues:
             self.held[c].append((pos, lcp))
 
     def take(self, c: int) -> tuple[np.ndarray, np.ndarray] | None:
-        got, self.held[c] = self.held[c], []
+        """What waits longest for a character, not more tuples at a time than the limit or one entry has."""
+        waiting, n, size = self.held[c], 0, 0
+        while n < len(waiting):
+            a, b = waiting[n]
+            more = b if isinstance(a, int) else len(a)
+            if n and size + more > self.limit:
+                break
+            n, size = n + 1, size + more
+        got, self.held[c] = waiting[:n], waiting[n:]
         if not got:
             return None
         pos, lcp = [], []
@@ -62,6 +73,54 @@ class Queues:
             self.file.close()
 
 
+class Spool:
+    """Tuples (position, common prefix) in one order, on disk beyond the limit; they are taken from the end."""
+
+    def __init__(self, limit: int = QUEUE_LIMIT):
+        self.held: list[tuple[np.ndarray, np.ndarray]] = []
+        self.blocks: list[tuple[int, int]] = []  # places and sizes in the file
+        self.limit, self.inside, self.file = limit, 0, None
+
+    def put(self, pos: np.ndarray, lcp: np.ndarray) -> None:
+        if self.held and self.inside + len(pos) > self.limit:
+            self._write()
+        self.held.append((pos, lcp))
+        self.inside += len(pos)
+
+    def _write(self) -> None:
+        if self.file is None:
+            self.file = tempfile.TemporaryFile()
+        at = self.file.seek(0, 2)
+        for k, kind in enumerate((np.int64, np.uint8)):
+            for held in self.held:
+                self.file.write(np.ascontiguousarray(held[k], kind).tobytes())
+        self.blocks.append((at, self.inside))
+        self.held, self.inside = [], 0
+
+    def take(self, most: int) -> tuple[np.ndarray, np.ndarray] | None:
+        """The last tuples, `most` of them at most, in the order in which they came."""
+        if not self.held:
+            if not self.blocks:
+                return None
+            at, n = self.blocks.pop()
+            self.file.seek(at)
+            self.held, self.inside = [(np.frombuffer(self.file.read(8 * n), np.int64), np.frombuffer(self.file.read(n), np.uint8))], n
+        got, size = [], 0
+        while self.held and size < most:
+            pos, lcp = self.held.pop()
+            cut = max(0, len(pos) - (most - size))
+            if cut:
+                self.held.append((pos[:cut], lcp[:cut]))
+            got.append((pos[cut:], lcp[cut:]))
+            size += len(pos) - cut
+        self.inside -= size
+        return got[0] if len(got) == 1 else (np.concatenate([x for x, _ in got[::-1]]), np.concatenate([x for _, x in got[::-1]]))
+
+    def close(self) -> None:
+        if self.file is not None:
+            self.file.close()
+
+
 class _Minima:
     """Range minima of a byte array by a sparse table."""
 
@@ -148,31 +207,32 @@ class Sorter:
         for a, b, x in zip(head.tolist(), ends.tolist(), c[head].tolist(), strict=True):
             queues.put(x, before[a:b].astype(np.int64), grown[a:b])
 
-    def induce(self, lms: np.ndarray, lms_lcp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Order of all suffixes, and common prefix with the one before, from the leftmost S ones in order."""
+    def induce(self, lms: np.ndarray, lms_lcp: np.ndarray):
+        """All suffixes in order, piece by piece, and common prefix with the one before, from the leftmost S ones in order."""
         s, k = self.s, self.characters
         starts = np.searchsorted(s[lms], np.arange(k + 1))
         queues, since = Queues(k, self.limit), np.full(k, -1, np.int16)
-        large: list[list] = [[] for _ in range(k)]
+        large, sizes = Spool(self.limit), [0] * k  # the second sweep takes them in the opposite order
         for c in range(k):
             last = None
             while (got := queues.take(c)) is not None:
                 pos, lcp = got
-                large[c].append(got)
+                large.put(pos, lcp)
+                sizes[c] += len(pos)
                 last = pos[-1:]
                 self._push(queues, since, pos, lcp, False)
             a, b = starts[c], starts[c + 1]
             if b > a:
                 pos, lcp = lms[a:b], lms_lcp[a:b].copy()
                 lcp[0] = 0 if last is None else self.prefix(last, pos[:1])[0]
-                self._push(queues, since, pos, lcp, False)
+                for i in range(0, b - a, self.limit):
+                    self._push(queues, since, pos[i : i + self.limit], lcp[i : i + self.limit], False)
         queues.close()
         queues, since = Queues(k, self.limit), np.full(k, -1, np.int16)
-        out_pos, out_lcp = [], []  # in descending order; lcp: with the next larger one
+        out = Spool(self.limit)  # in descending order; lcp: with the next larger one
 
         def extract(pos, lcp):
-            out_pos.append(pos)
-            out_lcp.append(lcp)
+            out.put(pos, lcp)
             self._push(queues, since, pos, lcp, True)
 
         for c in range(k - 1, -1, -1):
@@ -182,31 +242,37 @@ class Sorter:
                 extract(*got)
             if c == 0:
                 extract(np.array([len(s) - 1]), np.zeros(1, np.uint8))
-            if large[c]:
-                pos = np.concatenate([x for x, _ in large[c]])[::-1]
-                lcp = np.concatenate([x for _, x in large[c]])
-                down = np.concatenate([[0], lcp[1:][::-1]]).astype(np.uint8)
-                if last is not None:
-                    down[0] = self.prefix(last, pos[:1])[0]
+            left, up = sizes[c], None
+            while left:
+                pos, lcp = large.take(min(left, self.limit))
+                left -= len(pos)
+                pos, down = pos[::-1], np.concatenate([lcp[1:], lcp[:1]])[::-1]
+                if up is None:
+                    up = 0 if last is None else self.prefix(last, pos[:1])[0]
+                down[0], up = up, lcp[0]
                 extract(pos, down)
         queues.close()
-        pos, lcp = np.concatenate(out_pos)[::-1], np.concatenate(out_lcp)[::-1]
-        return pos, np.concatenate([[0], lcp[:-1]]).astype(np.uint8)
-
-    def run(self) -> tuple[np.ndarray, np.ndarray]:
+        large.close()
+        before = np.zeros(1, np.uint8)
+        while (got := out.take(self.limit)) is not None:
+            pos, lcp = got[0][::-1], got[1][::-1]
+            yield pos, np.concatenate([before, lcp[:-1]])
+            before = lcp[-1:]
+        out.close()
+
+    def run(self):
         kind = self.kind
         lms = np.flatnonzero(kind[1:] & ~kind[:-1]) + 1
         none = np.zeros(len(lms), np.uint8)
         if len(lms) > 1:
             by_char = lms[np.argsort(self.s[lms], kind="stable")]
-            pos, _ = self.induce(by_char, none)
             is_lms = np.zeros(len(self.s), bool)
             is_lms[lms] = True
-            pos = pos[is_lms[pos]]
+            pos = np.concatenate([x[is_lms[x]] for x, _ in self.induce(by_char, none)])
             names = self._names(lms, pos)
             lms = lms[order_names(names, self.depth)]
         lcp = np.concatenate([[0], self.prefix(lms[:-1], lms[1:])]).astype(np.uint8)
-        return self.induce(lms, lcp)
+        yield from self.induce(lms, lcp)
 
     def _names(self, lms: np.ndarray, ordered: np.ndarray) -> np.ndarray:
         """The name of each leftmost-S substring, in text order: equal for equal substrings, larger for larger ones."""
@@ -239,6 +305,12 @@ def order_names(names: np.ndarray, depth: int) -> np.ndarray:
     return np.argsort(names, kind="stable")
 
 
+def suffix_pieces(s: np.ndarray, depth: int, limit: int = QUEUE_LIMIT):
+    """sorted_suffixes() in pieces of `limit` suffixes at most, one after the other."""
+    return Sorter(s, depth, limit).run()
+
+
 def sorted_suffixes(s: np.ndarray, depth: int, limit: int = QUEUE_LIMIT) -> tuple[np.ndarray, np.ndarray]:
     """Positions in suffix order (exact up to depth characters) and common prefixes with the one before, capped at depth."""
-    return Sorter(s, depth, limit).run()
+    pos, lcp = zip(*suffix_pieces(s, depth, limit), strict=True)
+    return np.concatenate(pos), np.concatenate(lcp)

@@ -187,6 +187,32 @@ def test_suffix_sorting():
             assert t[a : a + depth] <= t[b : b + depth] and lcp[k + 1] == n
 
 
+def test_sort_keeps_few_tuples_in_memory(monkeypatch):
+    """Tuples of type L and the result go to disk beyond the limit, and results don't depend on it."""
+    from docquarry.llm import suffixes
+
+    rng, limit, most, blocks = random.Random(6), 64, [], []
+    put, write = suffixes.Spool.put, suffixes.Spool._write
+
+    def counted(self, pos, lcp):
+        put(self, pos, lcp)
+        most.append(self.inside)
+
+    monkeypatch.setattr(suffixes.Spool, "put", counted)
+    monkeypatch.setattr(suffixes.Spool, "_write", lambda self: (write(self), blocks.append(len(self.blocks))))
+    s = np.array([rng.randint(1, 4) for _ in range(5000)] + [0], np.uint16)
+    pieces = list(suffixes.suffix_pieces(s, 50, limit))
+    assert max(len(p) for p, _ in pieces) <= limit and max(most) <= limit and len(blocks) > 100
+    whole = sorted_suffixes(s, 50)
+    assert all((np.concatenate(x) == y).all() for x, y in zip(zip(*pieces), whole))
+    rows = random_rows(4, 40)
+    contents, ids = [t.encode() for _, t in rows], np.array([i for i, _ in rows])
+    zero, op = np.zeros(len(rows), np.int64), suffix_dedup.ByteWindows()
+    want = [x.tolist() for x in op.compare(ids, zero, zero, contents)]
+    monkeypatch.setattr(suffix_dedup, "suffix_pieces", lambda flat, depth: suffixes.suffix_pieces(flat, depth, 200))
+    assert [x.tolist() for x in op.compare(ids, zero, zero, contents)] == want and want[0]
+
+
 # --- 3
 
 
