@@ -39,17 +39,24 @@ def normalise(queries: DataFrame, config: Config) -> DataFrame:
 
 
 def retrieve(queries: DataFrame, units: DataFrame, config: Config = Config(), filters: dict | None = None, vectors: DataFrame | None = None, query_vectors: DataFrame | None = None, sections: DataFrame | None = None, posted: DataFrame | None = None) -> DataFrame:
-    """query_id, parent_id, final_rank and scores. units: parent_id, text and filter columns; posted: a stored index."""
+    """query_id, parent_id, final_rank and scores. units: parent_id, text and filter columns; posted: a stored index.
+
+    Filters hold for every ranking and for pins, before the cut.
+    """
     q = normalise(queries, config)
     posted = search.index(units, "parent_id", X.tokenize(F.col("text"), True)) if posted is None else posted
     rankings = {}
+    allowed = units.where(search.filter_column(filters)).select("parent_id") if filters else None
     if config.keyword:
-        allowed = units.where(search.filter_column(filters)).select("parent_id") if filters else None
         rankings["bm25"] = search.bm25(posted, search.term_stats(posted, "parent_id"), "parent_id", search.query_tokens(q, F.col("tokens")), config.depth, allowed)
     if config.vector:
+        if allowed is not None:
+            vectors = vectors.join(allowed, F.col("vec_id") == F.col("parent_id"), "left_semi")
         rankings["vector"] = search.vector_top_k(vectors, query_vectors, config.depth).withColumnRenamed("vec_id", "parent_id")
     fused = search.fuse(rankings)
     if config.exact_refs and sections is not None:
+        if allowed is not None:
+            sections = sections.join(allowed, "parent_id", "left_semi")
         refs = q.select("query_id", F.posexplode("section_refs").alias("pos", "ref"))
         fused = search.pin(fused, refs, sections)
     else:

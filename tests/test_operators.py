@@ -116,6 +116,16 @@ def test_retrieve_threshold(spark):
     assert [r["parent_id"] for r in retrieve(q, units, Config(threshold=2.0)).collect()] == [0]
 
 
+def test_filters_hold_for_vectors_and_pins(spark):
+    units = spark.createDataFrame([(1, "door width", "en"), (2, "door height", "de"), (3, "ramp 404.2", "de"), (4, "ramp slope", "en"), (5, "lift", "en"), (6, "wall", "en")], "parent_id long, text string, lang string")
+    vectors = spark.createDataFrame([(1, [0.5, 0.5]), (2, [1.0, 0.0]), (4, [0.9, 0.1])], "vec_id long, embedding array<float>")
+    q, qv = spark.createDataFrame([(100, "door in 404.2")], "query_id long, text string"), spark.createDataFrame([(100, [1.0, 0.0])], "query_id long, q array<float>")
+    sections = spark.createDataFrame([("404.2", 3)], "section_id string, parent_id long")
+    found = lambda depth, filters: {r["parent_id"] for r in retrieve(q, units, Config(vector=True, rerank=False, depth=depth), filters, vectors, qv, sections).collect()}
+    assert found(1, {"lang": "en"}) == {1, 4}  # the filter stands before the cut of each ranking
+    assert 3 in found(3, None)
+
+
 def test_metrics(spark):
     rows = spark.createDataFrame([(True, 1, 3), (True, 3, 3), (True, None, 3), (True, None, 0), (False, None, 0), (False, None, 2)], "in_corpus boolean, answer_rank int, n_found int")
     m = evalx.metrics(rows).first()
