@@ -409,7 +409,7 @@ def context_windows(spark, d):
     return answers.contexts(spans.withColumn("pinned", F.lit(False))).select("query_id", "parent_id", F.length("context").alias("n"), "window_start", "window_end")
 
 
-# --- evaluation: an item's documents are those that hold its first 60 characters
+# --- evaluation: an item's documents are those that hold its whole text; the SQL looks at its first 60 characters
 
 _EXP = "ex AS (SELECT item_id AS query_id, doc_id AS parent_id FROM benchmark b JOIN documents d ON contains(d.text, substr(b.text, 1, 60)))"
 _RES = f"{_UNITS}, {_BM25}, {_RANKED}, {_EXP}, rk AS (SELECT query_id, min(rank) AS answer_rank FROM h JOIN ex ON ex.query_id = h.query_id AND ex.parent_id = h.id WHERE rank <= 20 GROUP BY ALL), rs AS (SELECT item_id AS query_id, item_id % 3 AS type, item_id IN (SELECT query_id FROM ex) AS in_corpus, answer_rank, (SELECT count(*) FROM h WHERE h.query_id = item_id AND rank <= 3 AND score > 40) AS n_found FROM benchmark LEFT JOIN rk ON rk.query_id = item_id)"
@@ -421,7 +421,7 @@ def results(spark, d):
     hits = doc_hits(spark, d)
     items, texts = table(spark, d, "benchmark"), table(spark, d, "documents")
     # the stated item set against all rows, in blocks: substring containment has no key to join on
-    expected = texts.join(F.broadcast(items.select(F.col("item_id").alias("query_id"), F.substring("text", 1, 60).alias("head"))), F.expr("contains(text, head)")).select("query_id", F.lit(1).alias("grp"), F.col("doc_id").alias("parent_id"))
+    expected = texts.join(F.broadcast(items.where("text != ''").select(F.col("item_id").alias("query_id"), F.col("text").alias("item"))), F.expr("contains(text, item)")).select("query_id", F.lit(1).alias("grp"), F.col("doc_id").alias("parent_id"))
     groups = expected.select("query_id").distinct().withColumn("in_corpus", F.lit(True))
     first = hits.join(expected, ["query_id", "parent_id"], "left_semi").groupBy("query_id").agg(F.min("rank").alias("answer_rank"))
     n = hits.where("rank <= 3 and score > 40").groupBy("query_id").agg(F.count(F.lit(1)).alias("n_found"))
