@@ -7,14 +7,16 @@
 3. Each component is cut into blocks by shingle count (a similarity of t needs sizes within a factor t) and by hash. A
    task gets two blocks, or several small components, and looks at each pair in them once: MinHash values are compared in
    steps, and a pair is dropped when, by the beta posterior of its similarity, the chance of reaching the threshold falls
-   below TOLERANCE. What is left is verified exactly on the shingle sets. Tasks return counts and a spanning forest.
+   below TOLERANCE. What is left is verified exactly on the shingle sets, whose shingles a task numbers by their
+   words and not by hashes. Tasks return counts and a spanning forest.
 4. Components of the verified links give the classes of near copies.
 
 Two texts at the threshold share no band with a chance of (1 - 0.8**ROWS)**BANDS = 3e-6; larger similarities less.
 
 Edge cases: null and empty texts have no shingle and no link; each is its own class. Exact repeats of a text link to each
-other. Rows with a null doc_id are left out (they have no id to report). Repeated rows of one doc_id with one text count
-once; a doc_id with several texts gets the smallest class of them. Extra columns are ignored.
+other. Each row is a document of its own: repeated rows of a doc_id, and rows without one, have a result each, and link to
+each other like any others. class_id is the doc_id of the class's first row (smallest doc_id, null ones last). An empty table
+gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from docquarry.llm.common import GOLDEN, Rolling, arrow_bytes, fetch_texts, join_unique, mix64, spare, word_hashes
+from docquarry.llm.common import GOLDEN, Rolling, arrow_bytes, fetch_texts, join_unique, mix64, name64, new_seed, numbered, spare, word_hashes
 from docquarry.llm.components import components
 from docquarry.session import ship, spread, stash
 
@@ -42,17 +44,43 @@ _MUL = (_RNG.integers(0, 1 << 32, BANDS * ROWS, np.uint32) | np.uint32(1))[:, No
 _ADD = _RNG.integers(0, 1 << 32, BANDS * ROWS, np.uint32)[:, None]
 
 
-def shingles(data: np.ndarray) -> np.ndarray:
+def shingles(data: np.ndarray, seed: int) -> np.ndarray:
     """Sorted distinct 64-bit names of a text's shingles."""
-    _, _, h = word_hashes(data)
+    _, _, h, g = word_hashes(data, seed)
     n = len(h)
     if not n:
         return h
-    roll = Rolling(h)
+    roll = Rolling(h, seed, g)
     if n < SHINGLE:
-        return roll.of(np.array([0]), np.array([n]))
+        return name64(*roll.of(np.array([0]), np.array([n])))
     at = np.arange(n - SHINGLE + 1)
-    return np.unique(roll.of(at, at + SHINGLE))
+    return np.unique(name64(*roll.of(at, at + SHINGLE)))
+
+
+def exact_shingles(texts: list[np.ndarray]) -> list[np.ndarray]:
+    """Sorted distinct numbers of each text's shingles; equal numbers stand for equal words, in all of these texts."""
+    number: dict[bytes, int] = {}
+    short: dict[bytes, int] = {}
+    words, sizes = [], []
+    for data in texts:
+        own = data.tobytes().split()  # the same white space as word_bounds()
+        words.append(np.fromiter((number.setdefault(w, len(number)) for w in own), np.int64, len(own)))
+        sizes.append(len(own))
+    flat = np.concatenate([*words, np.zeros(0, np.int64)])
+    pair = lambda a, b: np.unique(a * (int(b.max(initial=0)) + 1) + b, return_inverse=True)[1]
+    two = pair(flat[:-1], flat[1:])
+    four = pair(two[:-2], two[2:])
+    five = pair(four[:-1], flat[SHINGLE - 1 :])
+    out, at = [], 0
+    for k, n in enumerate(sizes):
+        if n >= SHINGLE:
+            out.append(np.unique(five[at : at + n - SHINGLE + 1]))
+        elif n:
+            out.append(np.array([-1 - short.setdefault(b" ".join(texts[k].tobytes().split()), len(short))]))
+        else:
+            out.append(np.zeros(0, np.int64))
+        at += n
+    return out
 
 
 def signature(names: np.ndarray) -> np.ndarray:
@@ -78,22 +106,28 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return key
 
 
-def _describe(batches):
-    for batch in batches:
-        ids, count, digest, keys = batch["doc_id"], [], [], []
-        sigs, has = [], []
-        for data in arrow_bytes(batch["text"]):
-            s = shingles(data)
-            count.append(len(s))
-            digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-            has.append(bool(len(s)))
-            if len(s):
-                sigs.append(signature(s))
-        flat = band_keys(np.stack(sigs)).view(np.int64) if sigs else np.zeros((0, BANDS), np.int64)
-        offsets = np.concatenate([[0], np.cumsum(np.array(has, np.int64) * BANDS)]).astype(np.int32)
-        keys = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.ravel()))
-        yield pa.RecordBatch.from_arrays([ids, pa.array(count, pa.int32()), pa.array(digest, pa.binary()), keys], names=["doc_id", "n_shingles", "digest", "keys"])
-    spare()
+def digest_of(names: np.ndarray) -> bytes | None:
+    """Of a set of shingles; None for the empty set."""
+    return hashlib.blake2b(names.tobytes(), digest_size=16).digest() if len(names) else None
+
+
+def _describe(seed: int):
+    def run(batches):
+        for batch in batches:
+            count, digest, sigs = [], [], []
+            for data in arrow_bytes(batch["text"]):
+                s = shingles(data, seed)
+                count.append(len(s))
+                digest.append(digest_of(s))
+                if len(s):
+                    sigs.append(signature(s))
+            flat = band_keys(np.stack(sigs)).view(np.int64) if sigs else np.zeros((0, BANDS), np.int64)
+            offsets = np.concatenate([[0], np.cumsum((np.array(count, np.int64) > 0) * BANDS)]).astype(np.int32)
+            keys = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.ravel()))
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(count, pa.int32()), pa.array(digest, pa.binary()), keys], names=["doc_id", "n_shingles", "digest", "keys"])
+        spare()
+
+    return run
 
 
 def least_matches(steps, total: int, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> dict[int, int]:
@@ -179,13 +213,17 @@ class _Forest:
             self.up[max(x, y)] = min(x, y)
 
 
-def _pairs_of(table: pa.Table) -> pa.Table:
+def _linker(seed: int):
+    return lambda table: _pairs_of(table, seed)
+
+
+def _pairs_of(table: pa.Table, seed: int) -> pa.Table:
     """All links in one task's rows: per text its number of links (texts, documents) and a root of the local forest."""
     spare()
     ids, comp, block = table["doc_id"].to_numpy(), table["comp"].to_numpy(), table["block"].to_numpy()
     pair, n = table["pair"].to_numpy(), table["n"].to_numpy()
-    sets = [shingles(x) for x in arrow_bytes(table["text"])]
-    sig = np.stack([signature(s) for s in sets])
+    sig = np.stack([signature(shingles(x, seed)) for x in arrow_bytes(table["text"])])
+    sets = exact_shingles(arrow_bytes(table["text"]))
     texts, docs, forest = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64), _Forest()
 
     def note(a: np.ndarray, b: np.ndarray, upper: bool) -> None:
@@ -218,21 +256,33 @@ def _pairs_of(table: pa.Table) -> pa.Table:
 def jaccard_classes(documents: DataFrame) -> DataFrame:
     """A row for each document: doc_id, class_id (smallest doc_id linked to it, directly or not), n_links (documents
     with a similarity of THRESHOLD or more to it), n_text_links (different shingle sets among those), n_shingles."""
-    spark = documents.sparkSession
+    rows, plain = numbered(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "row")
+    out = _classes(rows.select(F.col("row").alias("doc_id"), "text"))
+    if plain:
+        return out
+    names = rows.select("row", "doc_id")
+    own = out.withColumnRenamed("doc_id", "row").join(names, "row")
+    return own.join(names.select(F.col("row").alias("class_id"), F.col("doc_id").alias("first_id")), "class_id").select(
+        "doc_id", F.col("first_id").alias("class_id"), "n_links", "n_text_links", "n_shingles")
+
+
+def _classes(source: DataFrame) -> DataFrame:
+    """jaccard_classes() of rows with a doc_id each of its own."""
+    spark = source.sparkSession
     ship(spark)
-    source = documents.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    described = stash(spread(source).mapInArrow(_describe, "doc_id long, n_shingles int, digest binary, keys array<long>"), "shingled")
+    seed = new_seed(spark)
+    described = stash(spread(source).mapInArrow(_describe(seed), "doc_id long, n_shingles int, digest binary, keys array<long>"), "shingled")
     has = described.where("digest is not null").select("doc_id", "digest", "n_shingles", "keys")
-    classes = stash(has.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count_distinct("doc_id").alias("n"), F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys")), "classes")
+    classes = stash(has.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys")), "classes")
     banded = classes.select("rep", F.explode("keys").alias("key"))
     shared = banded.groupBy("key").agg(F.min("rep").alias("low"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    star = banded.join(shared, "key").where("rep != low").select(F.col("rep").alias("a"), F.col("low").alias("b"))
+    n_classes = classes.count()
+    star = join_unique(banded, shared, ["key"], "m", BANDS * n_classes).where("rep != low").select(F.col("rep").alias("a"), F.col("low").alias("b"))
     members = stash(components(star, "candidates").join(classes.select(F.col("rep").alias("node"), "n", "n_shingles"), "node"), "members")
     n_members = members.count()
-    tasks = _blocks(members)
-    texts = fetch_texts(source, members.select(F.col("node").alias("doc_id")), n_members).dropDuplicates(["doc_id"])
-    placed = texts.join(tasks, "doc_id")
-    found = stash(placed.groupBy("task").applyInArrow(_pairs_of, "doc_id long, texts long, docs long, root long"), "links")
+    tasks = _blocks(members, n_members)
+    placed = fetch_texts(source, members.select(F.col("node").alias("doc_id")), n_members).join(tasks, "doc_id")
+    found = stash(placed.groupBy("task").applyInArrow(_linker(seed), "doc_id long, texts long, docs long, root long"), "links")
     counted = found.groupBy("doc_id").agg(F.sum("texts").alias("n_text_links"), F.sum("docs").alias("docs"))
     rooted = components(found.select(F.col("doc_id").alias("a"), F.col("root").alias("b")), "classes")
     verdict = (
@@ -242,14 +292,14 @@ def jaccard_classes(documents: DataFrame) -> DataFrame:
     mine = described.select("doc_id", "digest", "n_shingles")
     out = join_unique(mine.where("digest is not null"), stash(verdict, "verdict"), ["digest"], "n", described.count()).select("doc_id", "class_id", "n_links", "n_text_links", "n_shingles")
     none = mine.where("digest is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(0).cast("long").alias("n_text_links"), "n_shingles")
-    return out.unionByName(none).groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.max("n_links").alias("n_links"), F.max("n_text_links").alias("n_text_links"), F.max("n_shingles").alias("n_shingles"))
+    return out.unionByName(none)
 
 
-def _blocks(members: DataFrame) -> DataFrame:
+def _blocks(members: DataFrame, n_members: int) -> DataFrame:
     """Where each text goes: doc_id, n, comp, block, pair (0 whole component, 1 own block, more: two blocks), task."""
     size = members.groupBy("root").agg(F.count(F.lit(1)).alias("m"))
-    m = members.join(size, "root")
-    spread = F.lit(max(1, -(-members.count() // (2 * BLOCK))))
+    m = join_unique(members, size, ["root"], "m", n_members)  # a component may hold a third of all texts
+    spread = F.lit(max(1, -(-n_members // (2 * BLOCK))))
     small = m.where(F.col("m") <= 2 * BLOCK).select(
         F.col("node").alias("doc_id"), "n", F.col("root").alias("comp"), F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("pair"),
         F.pmod(F.xxhash64("root"), spread).alias("task"))

@@ -8,10 +8,12 @@ lies in the passage are the same at each of its places.
 
 A window of WIDTH words is anchored at a symbol of the highest round that has one whose range lies in the window (round
 zero, the words themselves, always has one): at the least hash of such a range's words, which is far rarer than a symbol. Windows that share an anchor are grouped and verified: runs of equal
-content by their 64-bit digest together with the anchor, others word by word. See repeats.py for the exchange.
+content by their digest, others word by word. Repeats inside a document go by the windows' digests of 122 bits. Digests are
+polynomials over word hashes at bases that the driver draws. See repeats.py for the exchange.
 
 Edge cases: null and empty texts have no words; texts of fewer than WIDTH words lose nothing. Rows with a null doc_id come
-last in the order. Repeated rows of one doc_id and text get the same result; none is earlier than the other.
+last, in the order of a hash of their texts. Repeated rows of one doc_id and text (and equal rows without a doc_id) get the
+same result; none is earlier than the other. An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,10 +22,10 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
-from docquarry.llm.common import GOLDEN, Rolling, mix64, word_bounds, word_hashes
-from docquarry.llm.repeats import NO_ID, PIECE, Runs, Windows, cut_runs, remove_repeats
+from docquarry.llm.common import GOLDEN, Rolling, mix64, name64, word_bounds, word_hashes
+from docquarry.llm.repeats import PIECE, Runs, Windows, cut_runs, remove_repeats
 
 ROUNDS, WIDTH = 2, 20
 
@@ -74,11 +76,16 @@ def _pairs(names, low, high, r: int):
     return out[stay], lo[stay], hi[stay]
 
 
+def _number(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Dense numbers of pairs of dense numbers; equal for equal pairs only."""
+    return np.unique(a * (int(b.max(initial=0)) + 1) + b, return_inverse=True)[1]
+
+
 class WordWindows(Windows):
     within = True
 
-    def __init__(self, width: int = WIDTH, rounds: int = ROUNDS, keep_text: bool = False):
-        self.width, self.rounds, self.keep_text = width, rounds, keep_text
+    def __init__(self, seed: int, width: int = WIDTH, rounds: int = ROUNDS, keep_text: bool = False):
+        self.seed, self.width, self.rounds, self.keep_text = seed, width, rounds, keep_text
 
     def split(self, data):
         a, b = word_bounds(data)
@@ -88,16 +95,15 @@ class WordWindows(Windows):
             return [(0, data[:0])]  # no window, as little text as that takes
         return [(k, data[a[k] : b[min(n, k + step) + self.width - 2]]) for k in range(0, n, step)]
 
-    def anchors(self, names: np.ndarray) -> np.ndarray:
+    def anchors(self, names: np.ndarray, roll: Rolling) -> np.ndarray:
         """The anchor of each window."""
         n, w = len(names), self.width
-        roll = Rolling(names)
         held: list[list] = [[] for _ in range(w + 1)]  # places and values by length of the range
         for r, (_, low, high) in enumerate(compress(names, self.rounds)):
             size = high - low + 1
             ok = np.flatnonzero((size <= w) & (low >= 0) & (high < n))
             low, size = low[ok], size[ok]
-            value = (roll.of(low, low + size) >> np.uint64(2)) | (np.uint64(self.rounds - r) << np.uint64(62))
+            value = (name64(*roll.of(low, low + size)) >> np.uint64(2)) | (np.uint64(self.rounds - r) << np.uint64(62))
             order = np.argsort(size, kind="stable")
             low, size, value = low[order], size[order], value[order]
             cut = np.searchsorted(size, np.arange(w + 2))
@@ -117,26 +123,36 @@ class WordWindows(Windows):
         blank = np.array([0x20], np.uint8)
         data = np.concatenate([x for p in pieces for x in (p, blank)])
         sizes = np.array([len(p) + 1 for p in pieces])
-        a, b, h = word_hashes(data)
+        a, b, h, g = word_hashes(data, self.seed)
         if len(h) < w:
-            h = h[:0]
+            h, g = h[:0], g[:0]
         piece_of = np.searchsorted(np.cumsum(sizes), a, "right")
         first = np.searchsorted(piece_of, np.arange(len(pieces)))
         at = np.flatnonzero(piece_of[: len(h) - w + 1] == piece_of[w - 1 :]) if len(h) else np.zeros(0, np.int64)
         if not len(at):
             none, zero = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-            return Runs(zero, none, none, zero, zero, None, (zero, zero, none))
-        roll = Rolling(h)
-        anchor, piece = self.anchors(h)[at], piece_of[at]
+            return Runs(zero, none, (none, none), zero, zero, None, None, (zero, zero, none, none))
+        roll = Rolling(h, self.seed, g)
+        anchor, piece = self.anchors(name64(h, g), roll)[at], piece_of[at]
         head, n = cut_runs(at, anchor, piece)
         start = at[head]
         digest = roll.of(start, start + n - 1 + w)
         own = piece[head]
-        window = (piece, at - first[piece], roll.of(at, at + w))
-        return Runs(own, anchor[head], digest, start - first[own], n, lambda k: data[a[start[k]] : b[start[k] + n[k] + w - 2]].tobytes(), window)
+        h, g = roll.of(at, at + w)
+        window = (piece, at - first[piece], h, g)
+
+        def split(ks):
+            offset = np.arange(int(n[ks].sum())) - np.repeat(np.cumsum(n[ks]) - n[ks], n[ks])
+            k = np.repeat(ks, n[ks])
+            place = head[k] + offset
+            return k, offset, h[place], g[place]
+
+        return Runs(own, anchor[head], digest, start - first[own], n, lambda k: data[a[start[k]] : b[start[k] + n[k] + w - 2]].tobytes(), split, window)
 
-    def compare(self, docs, crcs, starts, contents):
+    def compare(self, docs, crcs, starts, sizes, data):
         w = self.width
+        ends = np.cumsum(sizes)
+        contents = [data[e - n : e].tobytes() for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
         order = np.lexsort((starts, docs))
         number: dict[bytes, int] = {}
         ids = []
@@ -150,22 +166,24 @@ class WordWindows(Windows):
         owner = np.repeat(np.arange(len(ids)), n)
         first = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         at = base[owner] + first
-        key = Rolling(mix64(flat)).of(at, at + w)
+        # the number of each window, by numbers of 2, 4, 8 and 16 words and of two of those that overlap: exact
+        name, have = flat, 1
+        while 2 * have <= w:
+            name = _number(name[:-have], name[have:])
+            have *= 2
+        if have < w:
+            name = _number(name[: len(name) - (w - have)], name[w - have :])
+        key = name[at]
         by = np.argsort(key, kind="stable")  # order within a key: document, start
         head = np.concatenate([[True], key[by][1:] != key[by][:-1]])
         lead = by[np.maximum.accumulate(np.where(head, np.arange(len(by)), 0))]
         late = by != lead
-        late_at, lead_at = at[by[late]], at[lead[late]]
-        same = np.ones(len(late_at), bool)
-        for k in range(w):  # word by word
-            same &= flat[late_at + k] == flat[lead_at + k]
-        gone = by[late][same]
-        which = order[owner[gone]]
+        gone = by[late]
         which, start = order[owner[gone]], first[gone]
-        led = order[owner[lead[late][same]]]
+        led = order[owner[lead[late]]]
         other = docs[which] != docs[led]
         which, start = which[other], start[other] + starts[which[other]]
-        return docs[which], crcs[which], start, start + w
+        yield docs[which], crcs[which], start, start + w
 
     def finish(self, ids, data, spans):
         words, removed, digest, texts = [], [], [], []
@@ -194,5 +212,4 @@ def dedup_words(documents: DataFrame, keep_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (and kept_text: the text itself where nothing is removed, else the kept
     words joined by one space) of each document, without the words of windows that start earlier elsewhere."""
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text
-    out = remove_repeats(documents, WordWindows(keep_text=keep_text), schema)
-    return out.withColumn("doc_id", F.nullif(F.col("doc_id"), F.lit(int(NO_ID))))
+    return remove_repeats(documents, lambda seed: WordWindows(seed, keep_text=keep_text), schema)

@@ -2,30 +2,35 @@
 
 A document is a sequence of units (bytes or words); a window is WIDTH units. An operator gives each window an anchor that
 the window's content alone decides, so equal windows have equal anchors. Consecutive windows with one anchor form a run.
-Runs of equal content are recognised by their digest; only runs that share an anchor but differ are compared in detail.
+Runs of equal content are recognised by their digest (common.Rolling: 93 bits of two polynomials at bases that the driver
+draws, so no input can be built to collide); only runs that share an anchor but differ are compared in detail.
 
 1. Each task sends (anchor, digest, document) of its documents' runs to the anchor's shard; of equal runs within the task
    only the smallest document's goes out (pre-aggregation, so a passage in a third of all rows costs one entry a task).
+   An anchor with more than LOCAL_RUNS differing runs in a slice is hot: its shard gets one mark for the slice.
 2. A shard tells every document that holds a run which a smaller document holds too ("removed"), and asks the smallest
-   holder of each differing run under a shared anchor for its content ("wanted").
-3. Documents send the wanted contents to shards.
-4. The operator compares the windows of a shard exactly and answers with intervals.
+   holder of each differing run under a shared anchor for its content ("wanted"). Runs of an anchor with a mark or with more
+   than HOT_RUNS runs are "split" instead.
+3. Documents send the wanted contents to shards. Split runs go window by window to the shards of the windows' digests, one
+   entry for a window and bucket, so that no hot anchor's windows meet in one task.
+4. The operator compares the windows of a shard exactly and answers with intervals; split windows answer by digest.
 5. Documents get all intervals and the operator finishes them.
 
 Shards and buckets are hashed; their number follows the bytes of the table, so that a task's data stay of one size. Only
 entries, never texts of other documents, meet in a task. Everything is keyed, so lost executors cost only a recomputation.
+Rows with a null doc_id come last, in the order of a hash of their texts, and are spread by it.
 """
 
-from __future__ import annotations
-
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from docquarry.llm.bpe import slices
-from docquarry.llm.common import arrow_bytes, mix64, spare
+from docquarry.llm.common import arrow_bytes, mix64, new_seed, spare
+from docquarry.llm.suffixes import Grown
 from docquarry.session import parts, ship
 
 #: Bytes of text for which there is one bucket and one shard.
@@ -36,12 +41,20 @@ PIECE = 1 << 20
 CHUNK = 1 << 19
 #: Bytes of documents within which a task sends equal runs once, about.
 SLICE = 6 << 20
-NO_ID = np.iinfo(np.int64).max
-
-_ENTRY = [np.dtype("<u4"), np.dtype("<u8"), np.dtype("<i8")]  # anchor, digest, document
-_REPLY = [np.dtype("<i8"), np.dtype("<u8"), np.dtype("u1")]  # document, digest, code
+#: Items of a shard's contents that stay in memory.
+STORE = 32 << 20
+#: Differing runs of an anchor in one slice, and in all, above which it is split by windows.
+LOCAL_RUNS, HOT_RUNS = 16, 512
+#: Rows without a doc_id get numbers from here on, by a hash of their texts.
+NO_ID = 0x7000_0000_0000_0000
+
+_ENTRY = [np.dtype("<u4"), np.dtype("<u8"), np.dtype("<u4"), np.dtype("<i8")]  # anchor, digest in two parts, document
+_REPLY = [np.dtype("<i8"), np.dtype("<u8"), np.dtype("<u4"), np.dtype("u1")]  # document, digest, code
 _SPAN = [np.dtype("<i8"), np.dtype("<u4"), np.dtype("<i8"), np.dtype("<i8")]  # document, text's crc, start, end
-REMOVED, WANTED = 1, 2
+_WINDOW = [np.dtype("<u8"), np.dtype("<u4"), np.dtype("<i8"), np.dtype("<u4"), np.dtype("<i8")]  # digest, document, crc, start
+REMOVED, WANTED, SPLIT = 1, 2, 3
+#: The document of a mark.
+MARK = -(1 << 63)
 
 
 def pack(columns: list[np.ndarray], kinds: list[np.dtype]) -> bytes:
@@ -85,12 +98,14 @@ def wire(rows: list[tuple[int, int, bytes]]) -> pa.Table:
 
 
 class Runs:
-    """Runs of a chunk of pieces: piece number, anchor, digest, start within the piece, number of windows."""
+    """Runs of a chunk of pieces: piece number, anchor, digest (two arrays), start within the piece, number of windows."""
 
-    def __init__(self, piece, anchor, digest, start, n, content=None, window=None):
-        self.piece, self.anchor, self.digest, self.start, self.n = piece, anchor, digest, start, n
+    def __init__(self, piece, anchor, digest, start, n, content=None, split=None, window=None):
+        self.piece, self.anchor, self.start, self.n = piece, anchor, start, n
+        self.digest, self.digest2 = digest[0], digest[1].astype(np.uint32)
         self.content = content  # of a run's number: the units it covers, for compare()
-        self.window = window  # piece, start and hash of each window, where repeats within a document count
+        self.split = split  # of runs' numbers: for each of their windows the run's number, the offset and the digest
+        self.window = window  # piece, start and digest of each window, where repeats within a document count
 
 
 class Windows:
@@ -107,8 +122,9 @@ class Windows:
         """The runs of several pieces; windows never cross them."""
         raise NotImplementedError
 
-    def compare(self, docs: np.ndarray, crcs: np.ndarray, starts: np.ndarray, contents: list[bytes]):
-        """Spans (document, crc, start, end) of windows that also start in a smaller document of these contents."""
+    def compare(self, docs: np.ndarray, crcs: np.ndarray, starts: np.ndarray, sizes: np.ndarray, data: np.ndarray):
+        """Spans (document, crc, start, end) of windows that also start in a smaller document of these contents, part by
+        part; data: the contents' bytes end to end."""
         raise NotImplementedError
 
     def finish(self, ids: pa.Array, data: list[np.ndarray], spans) -> pa.Table:
@@ -139,15 +155,26 @@ def cut_runs(at: np.ndarray, anchor: np.ndarray, piece: np.ndarray) -> tuple[np.
     return head, np.diff(np.concatenate([head, [len(at)]]))
 
 
-def _local_first(digest: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _by_digest(last: np.ndarray, d1: np.ndarray, d2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order by digest, then `last`, and in that order whether a row has another digest than the one before."""
+    order = np.lexsort((last, d1))
+    a, b = d1[order], d2[order]
+    new = np.ones(len(a), bool)
+    new[1:] = a[1:] != a[:-1]
+    if (~new[1:] & (b[1:] != b[:-1])).any():  # digests that agree in the first part only
+        order = np.lexsort((last, d2, d1))
+        a, b = d1[order], d2[order]
+        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return order, new
+
+
+def _local_first(d1: np.ndarray, d2: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each distinct (digest, document): rows that hold their digest's smallest document, and all others."""
-    order = np.lexsort((doc, digest))
-    d, o = digest[order], doc[order]
-    new = np.ones(len(d), bool)
-    new[1:] = (d[1:] != d[:-1]) | (o[1:] != o[:-1])
-    order, d = order[new], d[new]
-    first = np.ones(len(d), bool)
-    first[1:] = d[1:] != d[:-1]
+    order, first = _by_digest(doc, d1, d2)
+    o = doc[order]
+    keep = first.copy()
+    keep[1:] |= o[1:] != o[:-1]
+    order, first = order[keep], first[keep]
     return order[first], order[~first]
 
 
@@ -156,13 +183,21 @@ def _entries(op: Windows, shards: int, buckets: int):
         for batch in batches:
             for piece in slices(batch, SLICE):
                 ids = piece["doc_id"].to_numpy(zero_copy_only=False)
-                got = [(r.anchor, r.digest, ids[number[r.piece]]) for number, _, r in op.chunks(arrow_bytes(piece["text"]))]
-                anchor, digest, doc = map(np.concatenate, zip(*got, strict=True))
-                first, later = _local_first(digest, doc)
+                got = [(r.anchor, r.digest, r.digest2, ids[number[r.piece]]) for number, _, r in op.chunks(arrow_bytes(piece["text"]))]
+                anchor, d1, d2, doc = map(np.concatenate, zip(*got, strict=True))
+                first, later = _local_first(d1, d2, doc)
+                _, back, n = np.unique(anchor[first], return_inverse=True, return_counts=True)
+                hot = n[back] > LOCAL_RUNS
+                split, first = first[hot], first[~hot]
                 first = first[np.argsort(doc[first], kind="stable")]
-                shard = ((anchor[first] >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
-                rows = [(0, p, blob) for p, blob in by_part(shard, [(anchor[first] & np.uint64(0xFFFFFFFF)), digest[first], doc[first]], _ENTRY)]
-                rows += [(1, p, blob) for p, blob in by_part(bucket_of(doc[later], buckets), [doc[later], digest[later], np.full(len(later), REMOVED)], _REPLY)]
+                marks = np.unique(anchor[split])
+                zero = np.zeros(len(marks), np.uint64)
+                a = np.concatenate([anchor[first], marks])
+                entries = [a & np.uint64(0xFFFFFFFF), np.concatenate([d1[first], zero]), np.concatenate([d2[first], zero]), np.concatenate([doc[first], np.full(len(marks), MARK)])]
+                rows = [(0, p, blob) for p, blob in by_part(((a >> np.uint64(32)) % np.uint64(shards)).astype(np.int64), entries, _ENTRY)]
+                told = np.concatenate([later, split])
+                code = np.concatenate([np.full(len(later), REMOVED), np.full(len(split), SPLIT)])
+                rows += [(1, p, blob) for p, blob in by_part(bucket_of(doc[told], buckets), [doc[told], d1[told], d2[told], code], _REPLY)]
                 yield from wire(rows).to_batches()
         spare()
 
@@ -176,23 +211,28 @@ def _answer(op: Windows, buckets: int):
         if kind == 1:
             return wire([(1, part, b) for b in blobs])
         spare()
-        anchor, digest, doc = unpack(blobs, _ENTRY)
+        anchor, d1, d2, doc = unpack(blobs, _ENTRY)
         del blobs
-        order = np.lexsort((doc, digest))
-        anchor, digest, doc = anchor[order], digest[order], doc[order]
-        head = np.flatnonzero(np.concatenate([[True], digest[1:] != digest[:-1]]))
+        marked = np.unique(anchor[doc == MARK])
+        real = doc != MARK
+        anchor, d1, d2, doc = anchor[real], d1[real], d2[real], doc[real]
+        order, first = _by_digest(doc, d1, d2)
+        anchor, d1, d2, doc = anchor[order], d1[order], d2[order], doc[order]
+        head = np.flatnonzero(first)
         least = np.repeat(doc[head], np.diff(np.concatenate([head, [len(doc)]])))
         late = doc > least
         # runs that differ under one anchor
-        a, d, o = anchor[head], digest[head], doc[head]
+        a, o = anchor[head], doc[head]
         order = np.lexsort((o, a))
-        a, d, o = a[order], d[order], o[order]
-        top = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
+        head, a, o = head[order], a[order], o[order]
+        top = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])) if len(a) else np.zeros(0, np.int64)
         size = np.diff(np.concatenate([top, [len(a)]]))
-        want = np.repeat(np.maximum.reduceat(o, top) > np.minimum.reduceat(o, top), size) if len(o) else np.zeros(0, bool)
-        docs = np.concatenate([doc[late], o[want]])
-        out = [docs, np.concatenate([digest[late], d[want]]), np.concatenate([np.full(late.sum(), REMOVED), np.full(want.sum(), WANTED)])]
-        return wire([(1, p, b) for p, b in by_part(bucket_of(docs, buckets), out, _REPLY)])
+        split = np.isin(a, marked) | (np.repeat(size, size) > HOT_RUNS)
+        want = (np.repeat(np.maximum.reduceat(o, top) > np.minimum.reduceat(o, top), size) if len(o) else np.zeros(0, bool)) | split
+        late, want, code = np.flatnonzero(late), head[want], np.where(split, SPLIT, WANTED)[want]
+        told = np.concatenate([late, want])
+        out = [doc[told], d1[told], d2[told], np.concatenate([np.full(len(late), REMOVED), code])]
+        return wire([(1, p, b) for p, b in by_part(bucket_of(doc[told], buckets), out, _REPLY)])
 
     return run
 
@@ -203,19 +243,26 @@ def _pair_key(doc: np.ndarray, digest: np.ndarray) -> np.ndarray:
         return mix64(doc.astype(np.uint64) * np.uint64(3)) ^ digest
 
 
-def _again(row: np.ndarray, start: np.ndarray, digest: np.ndarray) -> np.ndarray:
+def _again(row: np.ndarray, start: np.ndarray, d1: np.ndarray, d2: np.ndarray) -> np.ndarray:
     """Windows that also start earlier in their row; starts ascend within a row."""
     if not len(row):
         return np.zeros(0, np.int64)
-    _, lead, back = np.unique(_pair_key(row, digest), return_index=True, return_inverse=True)
-    return np.flatnonzero(start > start[lead[back]])
+    _, lead, back = np.unique(_pair_key(row, d1), return_index=True, return_inverse=True)
+    lead = lead[back]
+    if ((row != row[lead]) | (d1 != d1[lead]) | (d2 != d2[lead])).any():  # keys met by chance
+        order = np.lexsort((start, d2, d1, row))
+        r, a, b = row[order], d1[order], d2[order]
+        new = np.concatenate([[True], (r[1:] != r[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+        lead = np.empty(len(row), np.int64)
+        lead[order] = order[np.maximum.accumulate(np.where(new, np.arange(len(row)), 0))]
+    return np.flatnonzero(start > start[lead])
 
 
 def _send(op: Windows, shards: int):
     def run(key, texts, replies):
         part = int(key[0].as_py())
         spare()
-        doc, digest, code = unpack(replies["blob"].to_pylist(), _REPLY)
+        doc, digest, digest2, code = unpack(replies["blob"].to_pylist(), _REPLY)
         ids, data = texts["doc_id"].to_numpy(), arrow_bytes(texts["text"])
         crcs = np.array([zlib.crc32(d) for d in data], np.uint32)
         # repeated rows of one document and text are looked at once; without repeats inside documents, only those with a reply
@@ -225,10 +272,11 @@ def _send(op: Windows, shards: int):
             use &= np.isin(ids, doc)
         use = np.flatnonzero(use)
         key = _pair_key(doc, digest)
-        by = np.argsort(key)
-        key, code = key[by], code[by]
+        by = np.lexsort((code, key))
+        key, digest2, code = key[by], digest2[by], code[by]
         out: list[list[np.ndarray]] = [[], [], []]  # row, start, end
         shard_of, sent, long_windows = [], [], {}
+        split: list[list[np.ndarray]] = [[], [], [], []]  # row, start, digest of windows
         for number, first, r in op.chunks([data[i] for i in use.tolist()]):
             row = use[number[r.piece]]
             start = r.start + first[r.piece]
@@ -236,31 +284,47 @@ def _send(op: Windows, shards: int):
             if len(key):
                 own = _pair_key(ids[row], r.digest)
                 at = np.minimum(np.searchsorted(key, own), len(key) - 1)
-                told = np.where(key[at] == own, code[at], 0)
+                told = np.where((key[at] == own) & (digest2[at] == r.digest2), code[at], 0)
             gone = told == REMOVED
             out[0].append(row[gone])
             out[1].append(start[gone])
             out[2].append(start[gone] + r.n[gone] - 1 + op.width)
             if op.within:
-                p, s, h = r.window
+                p, s, h, g = r.window
                 w_row, s = use[number[p]], s + first[p]
                 cut = np.isin(w_row, w_row[first[p] > 0]) | (len(data[use[number[-1]]]) > PIECE) & (w_row == use[number[-1]])
                 for i in np.unique(w_row[cut]).tolist():
-                    long_windows.setdefault(i, []).append((s[w_row == i], h[w_row == i]))
-                again = _again(w_row[~cut], s[~cut], h[~cut])
+                    long_windows.setdefault(i, []).append((s[w_row == i], h[w_row == i], g[w_row == i]))
+                again = _again(w_row[~cut], s[~cut], h[~cut], g[~cut])
                 out[0].append(w_row[~cut][again])
                 out[1].append(s[~cut][again])
                 out[2].append(s[~cut][again] + op.width)
+            apart = np.flatnonzero(told == SPLIT)
+            if len(apart):
+                k, offset, h, g = r.split(apart)
+                for held, x in zip(split, (row[k], start[k] + offset, h, g.astype(np.uint32)), strict=True):
+                    held.append(x)
             for k in np.flatnonzero(told == WANTED).tolist():
                 shard_of.append(int(r.anchor[k] >> np.uint64(32)) % shards)
                 sent.append((int(ids[row[k]]), int(crcs[row[k]]), int(start[k]), r.content(k)))
         for i, got in long_windows.items():
-            s, h = (np.concatenate(c) for c in zip(*got, strict=True))
-            again = _again(np.zeros(len(s), np.int64), s, h)
+            s, h, g = (np.concatenate(c) for c in zip(*got, strict=True))
+            again = _again(np.zeros(len(s), np.int64), s, h, g)
             out[0].append(np.full(len(again), i))
             out[1].append(s[again])
             out[2].append(s[again] + op.width)
         rows = []
+        if split[0]:
+            row, begin, h, g = (np.concatenate(c) for c in split)
+            order, new = _by_digest(ids[row], h, g)
+            row, begin, h, g = row[order], begin[order], h[order], g[order]
+            head = np.flatnonzero(new)
+            least = np.repeat(ids[row[head]], np.diff(np.concatenate([head, [len(row)]])))
+            gone = ids[row] > least  # repeats inside a document are known already where they count
+            for held, x in zip(out, (row[gone], begin[gone], begin[gone] + op.width), strict=True):
+                held.append(x)
+            row, begin, h, g = row[~gone], begin[~gone], h[~gone], g[~gone]
+            rows += [(2, p, b) for p, b in by_part((h % np.uint64(shards)).astype(np.int64), [h, g, ids[row], crcs[row], begin], _WINDOW)]
         if out[0]:
             row, begin, stop = (np.concatenate(c) for c in out)
             order = np.lexsort((begin, row))
@@ -268,7 +332,7 @@ def _send(op: Windows, shards: int):
             far = np.int64(1) << 40  # rows end to end on one line, so that spans of all rows are united at once
             begin, stop = union(begin + row * far, stop + row * far)
             row = begin // far
-            rows = [(1, part, pack([ids[row], crcs[row], begin - row * far, stop - row * far], _SPAN))]
+            rows.append((1, part, pack([ids[row], crcs[row], begin - row * far, stop - row * far], _SPAN)))
         order = sorted(range(len(sent)), key=shard_of.__getitem__)
         a = 0
         while a < len(order):
@@ -284,29 +348,42 @@ def _send(op: Windows, shards: int):
     return run
 
 
+def _meet(op: Windows, blobs: list[bytes]) -> list[np.ndarray]:
+    """Spans of split windows that a smaller document holds too."""
+    d1, d2, doc, crc, start = unpack(blobs, _WINDOW)
+    order, new = _by_digest(doc, d1, d2)
+    doc, crc, start = doc[order], crc[order], start[order]
+    head = np.flatnonzero(new)
+    gone = doc > np.repeat(doc[head], np.diff(np.concatenate([head, [len(doc)]])))
+    return [doc[gone], crc[gone], start[gone], start[gone] + op.width]
+
+
 def _compare(op: Windows, buckets: int):
-    def run(key, table):
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind, part = int(key[0].as_py()), int(key[1].as_py())
-        blobs = table["blob"].to_pylist()
         if kind == 1:
-            return wire([(1, part, b) for b in blobs])
+            yield from batches
+            return
+        blobs = (blob for batch in batches for blob in batch["blob"].to_pylist())
         spare()
-        heads, contents = [], []
-        for blob in blobs:
-            n = int(np.frombuffer(blob, np.int64, 1)[0])
-            at = 8 + n * sum(k.itemsize for k in _SPAN)
-            heads.append(unpack([blob[:at]], _SPAN))
-            for size in heads[-1][3].tolist():
-                contents.append(blob[at : at + size])
-                at += size
-        del blobs
-        doc, crc, start, _ = (np.concatenate(c) for c in zip(*heads, strict=True))
-        found = op.compare(doc, crc, start, contents)
-        return wire([(1, p, b) for p, b in by_part(bucket_of(found[0], buckets), list(found), _SPAN)])
+        found = iter([_meet(op, list(blobs))]) if kind == 2 else op.compare(*_contents(blobs))
+        for spans in found:
+            yield from wire([(1, p, b) for p, b in by_part(bucket_of(spans[0], buckets), list(spans), _SPAN)]).to_batches()
 
     return run
 
 
+def _contents(blobs) -> list[np.ndarray]:
+    """Documents, crcs, starts and sizes of a shard's contents, and their bytes end to end; on disk beyond STORE items."""
+    held = [Grown(k, STORE) for k in (*_SPAN, np.uint8)]
+    for blob in blobs:
+        n = int(np.frombuffer(blob, np.int64, 1)[0])
+        at = 8 + n * sum(k.itemsize for k in _SPAN)
+        for store, x in zip(held, [*unpack([blob[:at]], _SPAN), np.frombuffer(blob, np.uint8, offset=at)], strict=True):
+            store.put(x)
+    return [x.get() for x in held]
+
+
 def _finish(op: Windows):
     def run(key, texts, intervals):
         doc, crc, start, end = unpack(intervals["blob"].to_pylist(), _SPAN)
@@ -322,7 +399,7 @@ def _finish(op: Windows):
                 a, b = a + np.searchsorted(own, c, "left"), a + np.searchsorted(own, c, "right")
             return union(start[a:b], end[a:b])
 
-        return op.finish(texts["doc_id"], data, spans)
+        return op.finish(texts["own_id"], data, spans)
 
     return run
 
@@ -336,21 +413,24 @@ def union(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start[new], reach[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(start) - 1]])]
 
 
-def remove_repeats(documents: DataFrame, op: Windows, schema: str) -> DataFrame:
-    """Run the exchange over doc_id and text of documents; schema: of op.finish()."""
+def remove_repeats(documents: DataFrame, op, schema: str) -> DataFrame:
+    """Run the exchange over doc_id and text of documents; op(seed) gives the operator, schema is of its finish()."""
     spark = documents.sparkSession
     ship(spark)
-    docs = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NO_ID))).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    op = op(new_seed(spark))
+    text, own = F.coalesce(F.col("text").cast("string"), F.lit("")), F.col("doc_id").cast("long")
+    number = F.coalesce(own, F.lit(NO_ID) + F.shiftrightunsigned(F.xxhash64(text), 4))
+    docs = documents.select(number.alias("doc_id"), own.alias("own_id"), text.alias("text"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = shards = max(2 * parts(spark), -(-int(total) // BYTES_PER_BUCKET))
 
     def placed(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(bucket_of(batch["doc_id"].to_numpy(zero_copy_only=False), buckets)), batch["doc_id"], batch["text"]], names=["part", "doc_id", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array(bucket_of(batch["doc_id"].to_numpy(zero_copy_only=False), buckets)), *batch.columns], names=["part", *batch.schema.names])
 
     # the bucket in SQL: the high bits of a product modulo 2**64, as in bucket_of()
-    texts = docs.mapInArrow(placed, "part long, doc_id long, text string")
-    entries = docs.mapInArrow(_entries(op, shards, buckets), WIRE)
+    texts = docs.mapInArrow(placed, "part long, doc_id long, own_id long, text string")
+    entries = docs.select("doc_id", "text").mapInArrow(_entries(op, shards, buckets), WIRE)
     replies = entries.groupBy("kind", "part").applyInArrow(_answer(op, buckets), WIRE)
     sent = texts.groupBy("part").cogroup(replies.groupBy("part")).applyInArrow(_send(op, shards), WIRE)
     intervals = sent.groupBy("kind", "part").applyInArrow(_compare(op, buckets), WIRE)

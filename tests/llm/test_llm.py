@@ -127,6 +127,23 @@ def test_substring_dedup(spark, seed):
     assert rows_of(recompress.dedup_words(docs(spark, rows).repartition(3)), "doc_id", "n_words", "n_removed", "kept_sha256") == brute_words(rows)
 
 
+def thue_morse(n):
+    """Words on which polynomial hashes modulo 2**64 collide, whatever the base."""
+    a, b = "a", "b"
+    for _ in range(n):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_words_that_defeat_a_hash_modulo_a_power_of_two(spark):
+    a, b = thue_morse(10)
+    head, tail = [f"w{i}" for i in range(10)], [f"v{i}" for i in range(20)]
+    rows = [(1, " ".join([*head, a, *tail])), (2, " ".join([*head, b, *tail])), (3, a + a + b), (4, b + b + a), (5, a), (6, b)]
+    assert rows_of(recompress.dedup_words(docs(spark, rows)), "doc_id", "n_words", "n_removed", "kept_sha256") == brute_words(rows)
+    assert rows_of(suffix_dedup.dedup_bytes(docs(spark, rows)), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute_bytes(rows)
+    assert rows_of(jaccard.jaccard_classes(docs(spark, rows)), "doc_id", "class_id", "n_links") == brute_links(rows)
+
+
 def test_substring_dedup_nulls_and_repeats(spark):
     text = " ".join(f"w{i}" for i in range(40))
     rows = docs(spark, [(None, text), (None, text), (3, text), (3, text)])
@@ -136,16 +153,18 @@ def test_substring_dedup_nulls_and_repeats(spark):
         assert f(docs(spark, [])).count() == 0
 
 
-def test_long_texts_are_cut_with_an_overlap(monkeypatch):
-    """Documents above PIECE go through in pieces; results are those of whole documents."""
+@pytest.mark.parametrize("local, hot, limit", [(16, 512, 10**7), (0, 512, 500), (16, 0, 100), (1, 2, 10**7)])
+def test_long_texts_are_cut_with_an_overlap(monkeypatch, local, hot, limit):
+    """Documents above PIECE go through in pieces, runs of hot anchors window by window; results are those of whole documents."""
     import pyarrow as pa
 
     rows = ODD[:12] + random_rows(3, 30)
     for module in (repeats, recompress, suffix_dedup):
         monkeypatch.setattr(module, "PIECE", 400)
-    monkeypatch.setattr(repeats, "CHUNK", 300)
-    for op, want in ((suffix_dedup.ByteWindows(), brute_bytes(rows)), (recompress.WordWindows(), brute_words(rows))):
-        table = pa.table({"doc_id": pa.array([i for i, _ in rows], pa.int64()), "text": pa.array([t or "" for _, t in rows])})
+    for name, value in (("CHUNK", 300), ("LOCAL_RUNS", local), ("HOT_RUNS", hot), ("STORE", limit)):
+        monkeypatch.setattr(repeats, name, value)
+    for op, want in ((suffix_dedup.ByteWindows(7, limit=limit), brute_bytes(rows)), (recompress.WordWindows(7), brute_words(rows))):
+        table = pa.table({"doc_id": pa.array([i for i, _ in rows], pa.int64()), "own_id": pa.array([i for i, _ in rows], pa.int64()), "text": pa.array([t or "" for _, t in rows])})
         scalar = lambda *x: tuple(pa.scalar(v) for v in x)
         sent = [b for batch in table.to_batches() for out in repeats._entries(op, 3, 1)([batch]) for b in out.to_pylist()]
 
@@ -155,12 +174,16 @@ def test_long_texts_are_cut_with_an_overlap(monkeypatch):
                 groups[r["kind"], r["part"]].append((r["kind"], r["part"], r["blob"]))
             return [r for key, own in groups.items() for r in f(scalar(*key), repeats.wire(own)).to_pylist()]
 
+        def streamed(f):
+            return lambda key, table: pa.Table.from_batches(list(f(key, iter(table.to_batches()))), repeats._WIRE)
+
         def of(wires):
             return repeats.wire([(r["kind"], r["part"], r["blob"]) for r in wires])
 
         replies = grouped(sent, repeats._answer(op, 1))
         wanted = repeats._send(op, 3)(scalar(0), table, of(replies)).to_pylist()
-        spans = grouped(wanted, repeats._compare(op, 1))
+        assert local or any(r["kind"] == 2 for r in wanted)
+        spans = grouped(wanted, streamed(repeats._compare(op, 1)))
         got = repeats._finish(op)(scalar(0), table, of(spans)).to_pylist()
         assert sorted((tuple(r.values()) for r in got), key=repr) == want
 
@@ -172,19 +195,45 @@ def test_long_text_of_few_words(spark, text):
     assert rows_of(recompress.dedup_words(docs(spark, [(1, text)])), "doc_id", "n_words", "n_removed", "kept_sha256") == want
 
 
+def check_suffixes(t, pos, lcp, depth):
+    assert sorted(pos) == list(range(len(t)))
+    for k, (a, b) in enumerate(zip(pos[:-1], pos[1:])):
+        n = 0
+        while n < depth and max(a, b) + n < len(t) and t[a + n] == t[b + n]:
+            n += 1
+        assert t[a : a + depth] <= t[b : b + depth] and lcp[k + 1] == n
+
+
 def test_suffix_sorting():
     rng = random.Random(5)
     for _ in range(600):
         raw = [rng.randint(0, rng.choice([1, 3, 5])) for _ in range(rng.randint(1, 60))]
-        depth, limit = rng.choice([3, 8, 50]), rng.choice([10**9, 5])  # 5: queues go to disk
+        depth, limit = rng.choice([3, 8, 50]), rng.choice([10**9, 5, 2])  # 5: queues go to disk
         t = [x + 1 for x in raw] + [0]
         pos, lcp = sorted_suffixes(np.array(t, np.uint16), depth, limit)
-        assert sorted(pos.tolist()) == list(range(len(t)))
-        for k, (a, b) in enumerate(zip(pos[:-1].tolist(), pos[1:].tolist())):
-            n = 0
-            while n < depth and max(a, b) + n < len(t) and t[a + n] == t[b + n]:
-                n += 1
-            assert t[a : a + depth] <= t[b : b + depth] and lcp[k + 1] == n
+        check_suffixes(t, pos.tolist(), lcp.tolist(), depth)
+
+
+def test_recursion_reaches_disk_at_each_level(monkeypatch):
+    """With a tiny limit the strings of names are sorted through the disk-backed queue, level below level."""
+    from docquarry.llm import suffixes
+
+    rng, levels = random.Random(7), []
+    order = suffixes.Names.order
+
+    def noted(self, different):
+        levels.append((len(self.t), isinstance(self.t, np.memmap)))
+        return order(self, different)
+
+    monkeypatch.setattr(suffixes.Names, "order", noted)
+    some = [rng.randint(1, 3) for _ in range(400)]
+    for t in ([*(some * 4), 0], [*([1, 2] * 700), 0], [*([1] * 300 + [2] * 300), 0], [rng.randint(1, 200) for _ in range(1500)] + [0]):
+        del levels[:]
+        pos, lcp = sorted_suffixes(np.array(t, np.uint16), 50, 20)
+        check_suffixes(t, pos.tolist(), lcp.tolist(), 50)
+        assert all(disk for n, disk in levels if n > 20)
+        if t[:400] == some:
+            assert len([n for n, _ in levels if n > 20]) >= 3
 
 
 def test_sort_keeps_few_tuples_in_memory(monkeypatch):
@@ -207,10 +256,15 @@ def test_sort_keeps_few_tuples_in_memory(monkeypatch):
     assert all((np.concatenate(x) == y).all() for x, y in zip(zip(*pieces), whole))
     rows = random_rows(4, 40)
     contents, ids = [t.encode() for _, t in rows], np.array([i for i, _ in rows])
-    zero, op = np.zeros(len(rows), np.int64), suffix_dedup.ByteWindows()
-    want = [x.tolist() for x in op.compare(ids, zero, zero, contents)]
-    monkeypatch.setattr(suffix_dedup, "suffix_pieces", lambda flat, depth: suffixes.suffix_pieces(flat, depth, 200))
-    assert [x.tolist() for x in op.compare(ids, zero, zero, contents)] == want and want[0]
+    zero, sizes, data = np.zeros(len(rows), np.int64), np.array([len(c) for c in contents]), np.frombuffer(b"".join(contents), np.uint8)
+
+    def covered(limit):
+        got = set()
+        for doc, _, start, end in suffix_dedup.ByteWindows(7, limit=limit).compare(ids, zero, zero, sizes, data):
+            got |= {(d, p) for d, a, b in zip(doc.tolist(), start.tolist(), end.tolist()) for p in range(a, b)}
+        return got
+
+    assert covered(10**7) == covered(200) != set()
 
 
 # --- 3
