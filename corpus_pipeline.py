@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from docquarry.llm import exact_dedup, jaccard, langid, packing, recompress
-from docquarry.llm.common import BROADCAST_ROWS
-from docquarry.session import shared_dir, stash, table
+from docquarry.llm.common import BROADCAST_ROWS, numbered
+from docquarry.session import shared_dir, stash, stash_mark, sweep, table
 
 #: Documents with letters are rejected below this score only; clean text scores far above it.
 LEAST_SCORE = 0.2
@@ -17,14 +17,8 @@ ROW = "__docquarry_row__"
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with a number of its own for each row, in the order of doc_id, null ones last: doc_id itself where that will do."""
-    number = F.col("doc_id").cast("long")
-    n, ids = docs.agg(F.count(F.lit(1)), F.count_distinct(number)).first()
-    if n == ids:
-        return docs.withColumn(ROW, number)
-    # the text and the row's place spread a repeated id over tasks; numbers are written, since places may change
-    order = [F.col("doc_id").asc_nulls_last(), F.col("text").asc_nulls_last(), F.monotonically_increasing_id()]
-    return stash(docs.orderBy(*order).withColumn(ROW, F.monotonically_increasing_id()), "keyed")
+    """docs with a number of its own for each row, in the order of doc_id, null ones last."""
+    return numbered(docs, ROW)[0]
 
 
 def _by_row(keyed: DataFrame) -> DataFrame:
@@ -89,11 +83,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each is written as Parquet to the shared folder and read again."""
+    """All stages over documents; each is written as Parquet to the shared folder and read again, then what it had stashed goes."""
     folder = f"{shared_dir(spark)}/docquarry/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{k}-{name}"
+        mark = stash_mark(spark)
         stage(spark, docs, sf_dir).write.parquet(path)
+        sweep(spark, mark)
         docs = spark.read.parquet(path)
     return docs
