@@ -1,16 +1,21 @@
 """Best-fit packing of documents into sequences, under conflicts.
 
-Bins stand in order of their residual; a bin carries bitmaps of the duplicate clusters in it and, in planes, of its
-sources (plane i has a source's bit when the bin holds more than i pieces of it). A piece goes to the tightest bin with
-room: the search starts at the least residual that fits and goes on to the successors until a bin is compatible, which is
-one that has no piece of the same duplicate cluster from another document and fewer than SOURCE_LIMIT of the same source.
-Without one, a new bin opens.
+Bins stand in order of their residual; each duplicate cluster has a bitmap of the bins that hold a piece of it, each source
+a bitmap of the bins that hold SOURCE_LIMIT pieces of it. A piece goes to the tightest bin with room: the search starts at
+the least residual that fits and goes on to the successors until one has a compatible bin, which is one that has no piece
+of the same duplicate cluster from another document and fewer than SOURCE_LIMIT of the same source. All bins of a
+residual are tried at once, as a bitmap without the bits of both conflicts, so many conflicting bins cost no more than few.
+
+Without a compatible bin a new one opens, as long as the bins are fewer than the words need at FILL. Beyond that a source's
+limit gives way (a source that holds most of the words can't be spread): the search runs again under clusters alone, and
+only if that fails too a bin opens. Duplicates never share a bin.
 
 Documents are cut into pieces of at most the capacity. Groups of documents, by a hash of doc_id, are packed apart, each of
 about GROUP_BINS bins, so work spreads and the loss is at most the last bins of each group. Pieces go largest first.
 
 Edge cases: null or empty texts have no words and get no piece. A null source is a source of its own. Rows with a null
-doc_id are packed like others. Repeated rows are pieces of the same cluster, so they never share a bin.
+doc_id are packed like others, in groups by a hash of their texts. Repeated rows are pieces of the same cluster, so they
+never share a bin. An empty table gives an empty result. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,53 +29,66 @@ from docquarry.session import ship
 CAPACITY = 2048
 SOURCE_LIMIT = 8
 GROUP_BINS = 1000
+#: Share of the bins' room that must be filled before a source's limit gives way.
+FILL = 0.97
 
 
 class Bins:
-    def __init__(self, capacity: int, source_limit: int):
-        self.capacity, self.limit = capacity, source_limit
-        self.at: list[list[int]] = [[] for _ in range(capacity + 1)]  # bins by residual
+    """Open bins and their conflicts; most: bins that may open while sources' limits hold."""
+
+    def __init__(self, capacity: int, source_limit: int, most: float):
+        self.capacity, self.limit, self.most = capacity, source_limit, most
+        self.at = [0] * (capacity + 1)  # for each residual a bitmap of its bins
         self.some = 0  # bit r: there are bins of residual r
         self.free: list[int] = []
-        self.clusters: list[int] = []
-        self.sources: list[list[int]] = []
+        self.held: dict = {}  # of a cluster: bins with a piece of it
+        self.planes: dict = {}  # of a source: plane i has the bins with more than i pieces of it
+
+    def place(self, size: int, source, cluster) -> tuple[int, int]:
+        """Bin and offset for a piece; cluster None: nothing conflicts."""
+        no = self.held.get(cluster, 0) if cluster is not None else 0
+        planes = self.planes.get(source)
+        if planes is None:
+            planes = self.planes[source] = [0] * self.limit
+        b = self._find(size, no | planes[-1])
+        if b < 0 and len(self.free) >= self.most and planes[-1]:
+            b = self._find(size, no)
+        if b < 0:
+            b = len(self.free)
+            self.free.append(self.capacity)
+        else:
+            r = self.free[b]
+            self.at[r] ^= 1 << b
+            if not self.at[r]:
+                self.some ^= 1 << r
+        bit, offset = 1 << b, self.capacity - self.free[b]
+        left = self.free[b] = self.free[b] - size
+        if cluster is not None:
+            self.held[cluster] = no | bit
+        for plane, had in enumerate(planes):
+            planes[plane] |= bit
+            if not had & bit:
+                break
+        if left:
+            self.at[left] |= bit
+            self.some |= 1 << left
+        return b, offset
 
-    def place(self, size: int, source: int, cluster: int) -> tuple[int, int]:
-        """Bin and offset for a piece; source and cluster are bits (0: no conflict)."""
-        above = self.some >> size
-        r = size
+    def _find(self, size: int, no: int) -> int:
+        """The first compatible bin of the least residual that has one, or -1."""
+        above, r = self.some >> size, size
         while above:
             step = (above & -above).bit_length() - 1
             r += step
-            for k, b in enumerate(self.at[r]):
-                if not self.clusters[b] & cluster and not (self.sources[b][self.limit - 1] & source):
-                    del self.at[r][k]
-                    if not self.at[r]:
-                        self.some &= ~(1 << r)
-                    return self._put(b, size, source, cluster)
+            ok = self.at[r] & ~no
+            if ok:
+                return (ok & -ok).bit_length() - 1
             above >>= step + 1
             r += 1
-        self.free.append(self.capacity)
-        self.clusters.append(0)
-        self.sources.append([0] * self.limit)
-        return self._put(len(self.free) - 1, size, source, cluster)
-
-    def _put(self, b: int, size: int, source: int, cluster: int) -> tuple[int, int]:
-        offset = self.capacity - self.free[b]
-        self.free[b] -= size
-        self.clusters[b] |= cluster
-        for plane in range(self.limit):
-            had = self.sources[b][plane] & source
-            self.sources[b][plane] |= source
-            if not had:
-                break
-        if self.free[b]:
-            self.at[self.free[b]].append(b)
-            self.some |= 1 << self.free[b]
-        return b, offset
+        return -1
 
 
-def pack_group(rows: list[tuple], capacity: int = CAPACITY, source_limit: int = SOURCE_LIMIT) -> list[tuple[int, int, int, int, int]]:
+def pack_group(rows: list[tuple], capacity: int = CAPACITY, source_limit: int = SOURCE_LIMIT, fill: float = FILL) -> list[tuple[int, int, int, int, int]]:
     """(row number, piece, bin, offset, size) for rows of (n_words, source, cluster)."""
     pieces = []
     for i, (n, _, _) in enumerate(rows):
@@ -79,15 +97,10 @@ def pack_group(rows: list[tuple], capacity: int = CAPACITY, source_limit: int =
     count: dict = {}
     for _, _, c in rows:
         count[c] = count.get(c, 0) + 1
-    bit: dict = {}
-    for c, n in count.items():
-        if n > 1:
-            bit[c] = 1 << len(bit)
-    source: dict = {}
-    bins, out = Bins(capacity, source_limit), []
+    bins, out = Bins(capacity, source_limit, sum(x[0] for x in pieces) / capacity / fill), []
     for size, i, piece in pieces:
         _, s, c = rows[i]
-        b, offset = bins.place(size, source.setdefault(s, 1 << len(source)), bit.get(c, 0))
+        b, offset = bins.place(size, s, c if count[c] > 1 else None)
         out.append((i, piece, b, offset, size))
     return out
 
@@ -108,6 +121,11 @@ def _pack(capacity: int, source_limit: int):
     return run
 
 
+def groups_for(n_bytes: int, capacity: int = CAPACITY) -> int:
+    """Groups for a table of n_bytes of text, at six bytes a word."""
+    return max(1, int(n_bytes / 6 / capacity / GROUP_BINS))
+
+
 def pack_table(documents: DataFrame, capacity: int = CAPACITY, source_limit: int = SOURCE_LIMIT) -> DataFrame:
     """A row for each piece: doc_id, piece, pack_group, bin, bin_offset, n_words, source."""
     spark = documents.sparkSession
@@ -120,6 +138,5 @@ def pack_table(documents: DataFrame, capacity: int = CAPACITY, source_limit: int
         F.xxhash64(F.regexp_replace(text, SPACE_CLASS + "+", " ")).alias("cluster"),
     ).where("n_words > 0")
     total = documents.select(F.octet_length("text").alias("n")).agg(F.sum("n")).first()[0] or 0
-    groups = max(1, int(total / 6 / capacity / GROUP_BINS))
-    keyed = rows.withColumn("g", F.pmod(F.xxhash64("doc_id"), F.lit(groups)))
+    keyed = rows.withColumn("g", F.pmod(F.xxhash64(F.coalesce("doc_id", "cluster")), F.lit(groups_for(total, capacity))))
     return keyed.groupBy("g").applyInArrow(_pack(capacity, source_limit), "doc_id long, piece int, pack_group long, bin long, bin_offset int, n_words int, source string")

@@ -270,42 +270,71 @@ def test_sort_keeps_few_tuples_in_memory(monkeypatch):
 # --- 3
 
 
-def test_packing(spark):
-    rng = random.Random(4)
-    rows = [(rng.randint(1, 5000), rng.choice("abc"), rng.randint(0, 30)) for _ in range(300)]
-    got = packing.pack_group(rows)
-    assert sum(x[4] for x in got) == sum(r[0] for r in rows)
-    bins = collections.defaultdict(list)
-    for i, piece, b, offset, size in got:
-        bins[b].append((offset, size, i))
-    twins = collections.Counter(c for _, _, c in rows)
-    for held in bins.values():
-        held.sort()
-        assert sum(s for _, s, _ in held) <= packing.CAPACITY
-        assert all(a + s == b for (a, s, _), (b, _, _) in zip(held, held[1:]))
-        assert max(collections.Counter(rows[i][1] for _, _, i in held).values()) <= packing.SOURCE_LIMIT
-        repeated = [rows[i][2] for _, _, i in held if twins[rows[i][2]] > 1]
-        assert len(repeated) == len(set(repeated))
-    # the tightest compatible bin, by trying all of them
-    free, clusters, sources = [], [], []
-    pieces = sorted(((min(2048, n - a), i, a // 2048) for i, (n, _, _) in enumerate(rows) for a in range(0, n, 2048)), key=lambda x: (-x[0], x[1], x[2]))
+def brute_packing(rows, capacity=2048, limit=8, fill=0.97):
+    """The tightest compatible bin, the first of several, by trying all of them."""
+    pieces = sorted(((min(capacity, n - a), i, a // capacity) for i, (n, _, _) in enumerate(rows) for a in range(0, n, capacity)), key=lambda x: (-x[0], x[1], x[2]))
+    twins, most = collections.Counter(c for _, _, c in rows), sum(x[0] for x in pieces) / capacity / fill
+    free, clusters, sources, out = [], [], [], []
     for size, i, piece in pieces:
-        fits = [b for b in range(len(free)) if free[b] >= size and rows[i][2] not in clusters[b] and sources[b].count(rows[i][1]) < packing.SOURCE_LIMIT]
-        if fits:
-            tight = min(free[b] for b in fits)
-            b = next(x[2] for x in got if x[:2] == (i, piece))
-            assert b < len(free) and free[b] == tight
-        else:
-            free.append(2048), clusters.append([]), sources.append([])
-            b = len(free) - 1
-            assert next(x[2] for x in got if x[:2] == (i, piece)) == b
+        _, s, c = rows[i]
+        fits = [b for b in range(len(free)) if free[b] >= size and (twins[c] == 1 or c not in clusters[b])]
+        ok = [b for b in fits if sources[b].count(s) < limit] or (fits if len(free) >= most else [])
+        if not ok:
+            free.append(capacity), clusters.append([]), sources.append([])
+            ok = [len(free) - 1]
+        b = min(ok, key=lambda b: (free[b], b))
+        out.append((i, piece, b, capacity - free[b], size))
         free[b] -= size
-        if twins[rows[i][2]] > 1:
-            clusters[b].append(rows[i][2])
-        sources[b].append(rows[i][1])
-    table = packing.pack_table(docs(spark, ODD + [(None, "a b")]))
-    words = table.groupBy("doc_id").agg(F.sum("n_words").alias("n"))
-    assert rows_of(words, "doc_id", "n") == sorted([(i, len(re.findall(r"[^\x20\x09-\x0D]+", t))) for i, t in ODD if t and t.strip()] + [(None, 2)], key=repr)
+        clusters[b].append(c)
+        sources[b].append(s)
+    return out
+
+
+def test_packing():
+    rng = random.Random(4)
+    for kinds, clusters, top in (("abc", 30, 5000), ("a", 10**6, 300), ("ab", 2, 500), ("abcdefghijkl", 40, 200)):
+        rows = [(rng.randint(1, top), rng.choice(kinds), rng.randint(0, clusters)) for _ in range(400)]
+        got = packing.pack_group(rows)
+        assert got == brute_packing(rows)
+        bins = collections.defaultdict(list)
+        for i, _, b, offset, size in got:
+            bins[b].append((offset, size, rows[i][2]))
+        twins = collections.Counter(c for _, _, c in rows)
+        for held in bins.values():
+            held.sort()
+            assert sum(s for _, s, _ in held) <= packing.CAPACITY
+            assert all(a + s == b for (a, s, _), (b, _, _) in zip(held, held[1:]))
+            again = [c for _, _, c in held if twins[c] > 1]
+            assert len(again) == len(set(again))
+
+
+def test_packing_of_one_source_and_of_copies():
+    """Bins fill although one source holds all; many copies don't make the search slow."""
+    import time
+
+    rng, began = random.Random(5), time.perf_counter()
+    rows = [(rng.randint(20, 60), "s", i) for i in range(50_000)]
+    n = len({x[2] for x in packing.pack_group(rows)})
+    assert sum(r[0] for r in rows) / n / packing.CAPACITY > 0.95
+    assert len({x[2] for x in packing.pack_group([(30, "s", 1)] * 12_000)}) == 12_000
+    assert time.perf_counter() - began < 20
+
+
+def test_packing_query_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_BINS", 2)
+    rows = ODD + random_rows(9, 90) + [(None, "a b"), (None, "a b"), (None, "c")]
+    d = docs(spark, [(i, t) for i, t in rows]).withColumn("source", F.concat(F.lit("s"), F.pmod(F.col("doc_id"), F.lit(3))))
+    groups = packing.groups_for(sum(len((t or "").encode()) for _, t in rows))
+    norm = F.regexp_replace(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+", " ")
+    held = d.withColumn("c", F.xxhash64(norm)).withColumn("g", F.pmod(F.xxhash64(F.coalesce("doc_id", "c")), F.lit(groups))).collect()
+    want = []
+    for g in range(groups):
+        own = [(len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")), r) for r in held if r["g"] == g]
+        own = sorted([(n, r) for n, r in own if n], key=lambda x: (-x[0], x[1]["doc_id"] is None, x[1]["doc_id"], x[1]["c"]))
+        for i, piece, b, offset, size in brute_packing([(n, r["source"], r["c"]) for n, r in own]):
+            want.append((own[i][1]["doc_id"], piece, g, b, offset, size, own[i][1]["source"]))
+    assert groups > 3
+    assert rows_of(packing.pack_table(d), "doc_id", "piece", "pack_group", "bin", "bin_offset", "n_words", "source") == sorted(want, key=repr)
     assert packing.pack_table(docs(spark, [])).count() == 0
 
 
