@@ -341,24 +341,91 @@ def test_packing_query_equals_brute_force(spark, monkeypatch):
 # --- 4
 
 
-def test_top_k(spark):
+def brute_top(vectors, k, asked):
+    """(query_id, rank, vec_id, score) of rows (id, integers); scores saturate at the ends of a long."""
+    out = []
+    for n, (i, x) in enumerate(vectors):
+        if asked(i):
+            found = sorted((-sum(a * b for a, b in zip(x, y)), j, m) for m, (j, y) in enumerate(vectors) if m != n and len(x) == len(y))
+            out += [(i, r, j, max(-(2**63), min(2**63 - 1, -s))) for r, (s, j, _) in enumerate(found[:k], 1)]
+    return sorted(out, key=repr)
+
+
+def test_dual_tree():
     rng = np.random.default_rng(1)
-    for it in range(25):
+    for it in range(40):
         n, d, k = int(rng.integers(1, 600)), int(rng.integers(1, 6)), int(rng.integers(1, 25))
-        p = rng.integers(-5, 6, (n, d))
+        p = rng.integers(-5, 6, (n, d)) * (10**9 if it % 5 == 0 else 1)  # products beyond a long
         if it % 3 == 0:
             p[: n // 2] = p[0]  # a vector that half of all rows hold
+        if it % 4 == 1:
+            p += rng.integers(-1, 2, (1, d)) * 40 * (rng.integers(0, 3, (n, 1)))  # clusters
         ids, pick = rng.permutation(2000)[:n], rng.permutation(n)[:30]
-        got_id, got_score = covertree.dual_top_k(p[pick], ids[pick], p, ids, k)
+        got = covertree.dual_top_k(p[pick], pick, p, ids, np.arange(n), k)
         for r, j in enumerate(pick):
-            score = p @ p[j]
+            score = p.astype(object) @ p[j].astype(object)
             want = sorted((-int(score[t]), int(ids[t])) for t in range(n) if t != j)[:k]
-            assert [(-int(s), int(i)) for i, s in zip(got_id[r], got_score[r]) if np.isfinite(s)] == want
+            assert [(-s, i) for i, s in got[r]] == want
+
+
+def test_cover_tree_invariants():
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(size=(300, 3)) * 0.1 + c for c in rng.normal(size=(9, 3)) * 5])
+    tree, inner = covertree.CoverTree(x, leaf=8), 0
+    away = lambda a, b: np.sqrt(((x[a] - x[b]) ** 2).sum(axis=-1))
+    for at, kids in enumerate(tree.children):
+        assert away(tree.rows[at], tree.centre[at]).max() <= tree.radius[at] + 1e-12
+        if kids:
+            inner += 1
+            centres = np.array([tree.centre[c] for c in kids])
+            assert sorted(np.concatenate([tree.rows[c] for c in kids])) == sorted(tree.rows[at])
+            assert max(tree.radius[c] for c in kids) <= tree.radius[at] / 2 + 1e-12
+            assert all(away(np.delete(centres, c), centres[c]).min() > tree.radius[at] / 2 for c in range(len(kids)))
+    assert inner > 9
+
+
+def test_pairs_of_nodes_are_dropped():
+    """Far clusters: most products are never computed, on both levels."""
+    rng = np.random.default_rng(3)
+    centres = np.eye(8) * 1000
+    x = np.floor(np.concatenate([rng.normal(size=(400, 8)) + c for c in centres])).astype(np.int64)
+    search, seen = covertree.Search(x[::40], np.arange(0, len(x), 40), 5), []
+    leaf = search._leaf
+    search._leaf = lambda i, *a: (seen.append(len(search.tree.rows[i]) * len(a[4])), leaf(i, *a))
+    search.add(x, np.arange(len(x)), np.arange(len(x)))
+    assert sum(seen) < 0.3 * len(x) * len(search.q)
+    stats = {8: (np.arange(8), np.full(8, 400), np.full(8, 5.0), np.ones(8, np.int64))}
+    group = __import__("pyarrow").RecordBatch.from_pylist([{"dim": 8, "grp": 0, "chunk": 0, "radius": 5.0, "worst": 900_000.0}])
+    pairs = lambda first: [r for b in covertree._pairs({8: centres}, {8: centres}, stats, 5, first)([group]) for r in b.to_pylist()]
+    assert [r["cell"] for r in pairs(True)] == [0] and pairs(False) == []
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_top_k(spark, monkeypatch, seed):
+    """Many cells, blocks, chunks and stripes; repeated ids; two lengths; a vector that a third of all rows hold; large numbers."""
+    rng = np.random.default_rng(seed)
+    for name, value in (("BLOCK_ROWS", 40), ("QUERY_ROWS", 8), ("STRIPE", 2), ("SAMPLE_ROWS", 60)):
+        monkeypatch.setattr(covertree, name, value)
+    x = rng.integers(-9, 10, (300, 4)) + 30 * rng.integers(-1, 2, (300, 1))
+    x[:100] = x[0]
+    if seed == 2:
+        x = x * 10**9
+    ids = rng.permutation(500)[:300].tolist()
+    if seed == 1:
+        ids[250:] = ids[200:250]  # repeated ids
+    vectors = [(i, r.tolist()) for i, r in zip(ids, x)] + [(1000 + i, [i - 20, 3]) for i in range(40)] + [(2000, [5])]
+    d = spark.createDataFrame([(*r, 1) for r in vectors], "vec_id long, v array<long>, rank int")
+    got = covertree.top_k(d, F.col("vec_id") % 4 == 0, 7)
+    assert rows_of(got, "query_id", "rank", "vec_id", "score") == brute_top(vectors, 7, lambda i: i % 4 == 0)
+
+
+def test_top_k_odd_rows(spark):
     nan = float("nan")
     rows = [(0, [1.0, 0.5]), (1, None), (2, [None, 1.0]), (3, [nan, 1.0]), (4, [float("inf"), 1.0]), (5, [-0.3, 0.2]), (6, [0.9, 0.5]), (7, [0.9, 0.5]), (None, [1.0, 1.0]), (8, [1.0]), (9, [])]
     v = covertree.quantised(spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<float>, rank int"))
     got = rows_of(covertree.top_k(v, F.col("vec_id") % 5 == 0, 2), "query_id", "rank", "vec_id", "score")
     assert got == [(0, 1, 6, 64 * 57 + 32 * 32), (0, 2, 7, 64 * 57 + 32 * 32), (5, 1, 6, -20 * 57 + 12 * 32), (5, 2, 7, -20 * 57 + 12 * 32)]
+    assert covertree.top_k(v.where("vec_id < 0"), F.col("vec_id") % 5 == 0, 2).count() == 0
 
 
 # --- 6
