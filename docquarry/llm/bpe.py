@@ -8,7 +8,9 @@ Pre-tokens are independent, so one queue serves all new pre-tokens of an Arrow b
 smallest rank of the whole batch and merges, with numpy, the leftmost live position in each pre-token. Very long
 pre-tokens go through the scalar form of the same queue, whose cost is O(n) queue operations.
 
-Edge cases: a null text counts as empty; an empty text has no tokens, and the digests of the empty string.
+Edge cases: a null text counts as empty; an empty text has no tokens, and the digests of the empty string. Each row has a
+result of its own, repeated rows and rows without a doc_id too; an empty table gives an empty result. Extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -243,7 +245,7 @@ ENCODE_BYTES = 8 << 20
 
 
 def encode_table(documents: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
-    """doc_id, the ids of its whole text (array of int), their decimals' digest and the decoded bytes' digest.
+    """doc_id, how many ids its whole text has, the digest of their decimals, the digest and number of the decoded bytes.
 
     The vocabulary is read once by the driver and broadcast (a fixed file of about a megabyte).
     """

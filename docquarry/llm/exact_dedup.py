@@ -4,7 +4,8 @@ Texts are equal when they are identical after each run of white space (space, 0x
 an immutable set of rows that came earlier. Its digests are spread over shards, and each shard has one static filter.
 Incoming rows are first grouped among themselves by digest; each group's digest is screened by its shard's filter. Only
 groups that the filter lets through are joined to the snapshot's exact buckets, and only for those are texts fetched and
-compared byte for byte. A group whose bytes differ stays a group of its own.
+compared byte for byte. A group whose bytes differ stays a group of its own. write_snapshot() keeps a snapshot's buckets, texts
+and filters as tables; dedup_batch() holds any later batch against them without reading the snapshot's rows again.
 
 Edge cases: a null text counts as empty, and empty texts equal each other. Rows with a null doc_id are returned; they
 never give the id that stays unless a group has no other (then keep_id is null and they are kept). Repeated rows of one
@@ -78,6 +79,30 @@ def screen(groups: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
     return left.groupBy("shard").cogroup(filters.groupBy("shard")).applyInArrow(_screen, groups.schema)
 
 
+def write_snapshot(documents: DataFrame, folder: str) -> None:
+    """Keep an immutable snapshot: one row for each digest (rep, n, the text of rep) and the filters of its shards."""
+    spark = documents.sparkSession
+    ship(spark)
+    said = documents.select(_id().alias("doc_id"), normalised().alias("text")).withColumn("digest", _digest(F.col("text")))
+    said.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.min("text").alias("text")).write.parquet(f"{folder}/groups")
+    groups = spark.read.parquet(f"{folder}/groups")
+    shards = max(1, -(-groups.count() // KEYS_PER_SHARD))
+    build_filters(groups, shards).withColumn("shards", F.lit(shards)).write.parquet(f"{folder}/filters")
+
+
+def dedup_batch(folder: str, incoming: DataFrame) -> DataFrame:
+    """exact_dedup() of an incoming batch against a kept snapshot; a row for each row of the batch."""
+    spark = incoming.sparkSession
+    ship(spark)
+    old, filters = spark.read.parquet(f"{folder}/groups"), spark.read.parquet(f"{folder}/filters")
+    first = filters.select("shards").first()
+    rows = stash(digests(incoming).withColumn("fresh", F.lit(True)), "digests")
+    new = stash(rows.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "groups")
+    positive = screen(new, filters.drop("shards"), first["shards"] if first else 1)
+    pairs = stash(positive.select("digest", F.col("rep").alias("new_rep")).join(old.select("digest", F.col("rep").alias("old_rep")), "digest"), "pairs")
+    return _verdict(rows, new.withColumn("fresh", F.lit(True)), old.select("digest", "rep", "n"), new, _equal(pairs, incoming, old.select(F.col("rep").alias("doc_id"), "text")), rows.count())
+
+
 def exact_dedup(snapshot: DataFrame, incoming: DataFrame) -> DataFrame:
     """A row for each row of both tables: doc_id, digest, keep_id, group_size, kept.
 
@@ -89,25 +114,29 @@ def exact_dedup(snapshot: DataFrame, incoming: DataFrame) -> DataFrame:
     rows = stash(both, "digests")
     grouped = stash(rows.groupBy("digest", "fresh").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "groups")
     old, new = grouped.where("not fresh").drop("fresh"), grouped.where("fresh").drop("fresh")
-    n_rows, n_old = rows.count(), old.count()
-    shards = max(1, -(-n_old // KEYS_PER_SHARD))
+    shards = max(1, -(-old.count() // KEYS_PER_SHARD))
     positive = screen(new, stash(build_filters(old, shards), "filters"), shards)
     pairs = stash(positive.alias("a").join(old.alias("b"), "digest").select("digest", F.col("a.rep").alias("new_rep"), F.col("b.rep").alias("old_rep")), "pairs")
-    n_pairs = pairs.count()
-    new_texts = fetch_texts(incoming.withColumn("doc_id", _id()), pairs.select(F.col("new_rep").alias("doc_id")).distinct(), n_pairs)
-    old_texts = fetch_texts(snapshot.withColumn("doc_id", _id()), pairs.select(F.col("old_rep").alias("doc_id")).distinct(), n_pairs)
+    return _verdict(rows, grouped, old, new, _equal(pairs, incoming, snapshot.withColumn("doc_id", _id())), rows.count())
+
+
+def _equal(pairs: DataFrame, incoming: DataFrame, held: DataFrame) -> DataFrame:
+    """digest and old_rep of the pairs whose texts are equal byte for byte."""
+    n = pairs.count()
+    new_texts = fetch_texts(incoming.withColumn("doc_id", _id()), pairs.select(F.col("new_rep").alias("doc_id")).distinct(), n)
+    old_texts = fetch_texts(held, pairs.select(F.col("old_rep").alias("doc_id")).distinct(), n)
 
     def said(texts: DataFrame, name: str) -> DataFrame:  # by digest too: rows without an id, or of one id, may differ
         return texts.select(F.col("doc_id").alias(name), normalised().alias(f"{name}_text")).withColumn("digest", _digest(F.col(f"{name}_text")))
 
-    equal = (
-        pairs.join(said(new_texts, "new_rep"), ["new_rep", "digest"]).join(said(old_texts, "old_rep"), ["old_rep", "digest"])
-        .where(F.col("new_rep_text") == F.col("old_rep_text")).select("digest", "old_rep").distinct()
-    )
-    fresh_n = new.select("digest", F.col("n").alias("new_n"))
+    both = pairs.join(said(new_texts, "new_rep"), ["new_rep", "digest"]).join(said(old_texts, "old_rep"), ["old_rep", "digest"])
+    return both.where(F.col("new_rep_text") == F.col("old_rep_text")).select("digest", "old_rep").distinct()
+
+
+def _verdict(rows: DataFrame, grouped: DataFrame, old: DataFrame, new: DataFrame, equal: DataFrame, n_rows: int) -> DataFrame:
     verdict = stash(
         grouped.join(equal.withColumn("same", F.lit(True)), "digest", "left")
-        .join(fresh_n, "digest", "left").join(old.select("digest", F.col("n").alias("old_n")), "digest", "left")
+        .join(new.select("digest", F.col("n").alias("new_n")), "digest", "left").join(old.select("digest", F.col("n").alias("old_n")), "digest", "left")
         .select(
             "digest", "fresh",
             F.when(F.col("same") & F.col("fresh"), F.col("old_rep")).otherwise(F.col("rep")).alias("keep_id"),

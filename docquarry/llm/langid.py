@@ -1,7 +1,8 @@
 """Language identification: script ranges narrow the candidates, Viterbi over words labels spans.
 
 Learning: words of labelled texts are counted by language over a bounded sample (SAMPLE_DOCS, documented parameter); so
-are character n-grams of those words, for words that weren't seen, and scripts. Prediction: each word's script picks the
+are character n-grams of those words, for words that weren't seen LEAST_COUNT times, and scripts. A word is a run of letters; runs
+above WORD_LETTERS, as scripts without blanks have them, are cut into as many words as it takes, and all of them count. Prediction: each word's script picks the
 candidate languages, its word score (or its n-gram score) gives log probabilities, and the best path through the
 languages, with SWITCH_PENALTY for each change, labels spans. The document's language has the most letters in its spans;
 the score is the mean of its share of the letters and of its mean word posterior.
@@ -11,7 +12,8 @@ The language with the largest sum is accepted at once where no other gains more
 
 Edge cases: null text or text without letters: `und` with score 1.0. Words of a script that no learned language uses count
 for no language; a text of only such words goes to the language with the largest prior. With no labelled row at all every
-text with letters is `und` with score 0.0.
+text with letters is `und` with score 0.0. Each row has a result of its own, repeated rows and rows without a doc_id too; an
+empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from docquarry.llm.bpe import slices
 from docquarry.llm.common import mix64, spare
@@ -31,8 +33,8 @@ from docquarry.session import ship, spread
 
 #: Documents from which a model is learned, about, picked by a hash of doc_id.
 SAMPLE_DOCS = 20_000
-#: Words of a language that a model holds; rarer ones go by their n-grams.
-MODEL_WORDS = 40_000
+#: A word with a score of its own was seen so often in a language; rarer ones go by their n-grams.
+LEAST_COUNT = 3
 #: Words whose scores a worker remembers, before it starts afresh.
 CACHE = 150_000
 SWITCH_PENALTY = 12.0
@@ -40,7 +42,8 @@ SWITCH_PENALTY = 12.0
 SLICE = 1 << 20
 #: Columns that label_rows() adds; names that no input should have.
 LABEL, LABEL_SCORE = "__docquarry_lang__", "__docquarry_lang_score__"
-WORD = re.compile(r"[^\W\d_]+")
+WORD_LETTERS = 24
+WORD = re.compile(rf"[^\W\d_]{{1,{WORD_LETTERS}}}")
 #: First code points of blocks, and their script. Fixed values of the Unicode standard.
 SCRIPT_STARTS = [
     (0x0000, "latin"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530, "armenian"), (0x0590, "hebrew"), (0x0600, "arabic"), (0x0900, "indic"),
@@ -61,7 +64,7 @@ GRAM_ROWS = 1 << 18
 
 def gram_rows(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Rows of the n-gram table for the 2-, 3- and 4-grams of all words together, and the word number of each."""
-    marked = [f"^{w[:24]}$" for w in words]
+    marked = [f"^{w}$" for w in words]
     code = np.frombuffer("".join(marked).encode("utf-32-le"), np.uint32).astype(np.uint64)
     owner = np.repeat(np.arange(len(words)), np.fromiter(map(len, marked), np.int64, len(marked)))
     rows, owners = [], []
@@ -93,10 +96,10 @@ def learn(documents: DataFrame, train, sample_docs: int = SAMPLE_DOCS) -> dict:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words)), pa.array(list(words)), pa.array(list(words.values()), pa.int64())], names=["lang", "word", "n"])
 
     words = bounded.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    top = words.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("r") <= MODEL_WORDS)
+    held = words.toArrow()  # the words of about SAMPLE_DOCS documents
     counts: dict[str, dict[str, int]] = defaultdict(dict)
-    for r in top.select("lang", "word", "n").toLocalIterator():
-        counts[r["lang"]][r["word"]] = r["n"]
+    for lang, word, n in zip(*(held[c].to_pylist() for c in ("lang", "word", "n")), strict=True):
+        counts[lang][word] = n
     return model_of(counts)
 
 
@@ -106,8 +109,8 @@ def model_of(counts: dict[str, dict[str, int]]) -> dict:
     if not langs:
         return {"langs": []}
     totals = [sum(counts[x].values()) or 1 for x in langs]
-    vocabulary = sorted(set().union(*counts.values()))
-    words = np.array([[math.log((counts[x].get(w, 0) + 0.05) / (t + 0.05 * len(vocabulary))) for x, t in zip(langs, totals, strict=True)] for w in vocabulary], np.float32)
+    vocabulary = sorted({w for x in counts.values() for w, n in x.items() if n >= LEAST_COUNT})
+    words = np.array([[math.log((counts[x].get(w, 0) + 0.05) / (t + 0.05 * len(vocabulary))) for x, t in zip(langs, totals, strict=True)] for w in vocabulary], np.float32).reshape(len(vocabulary), len(langs))
     grams, scripts = np.zeros((GRAM_ROWS, len(langs))), [Counter() for _ in langs]
     for k, lang in enumerate(langs):
         own = list(counts[lang])
@@ -256,7 +259,7 @@ def predict_table(documents: DataFrame, model: dict) -> DataFrame:
     """doc_id, lang_pred and score of each whole text."""
     spark = documents.sparkSession
     ship(spark)
-    held = spark.sparkContext.broadcast(model)  # bounded by MODEL_WORDS and GRAM_ROWS, for each language
+    held = spark.sparkContext.broadcast(model)  # bounded by the sample and by GRAM_ROWS, for each language
     out = lambda piece, lang, score: pa.RecordBatch.from_arrays([piece["doc_id"], lang, score], names=["doc_id", "lang_pred", "score"])
     return spread(documents.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")).mapInArrow(_labeller(held, out), "doc_id long, lang_pred string, score double")
 

@@ -1,15 +1,18 @@
 """Toxicity: a lexicon trie met by Levenshtein automata, and context windows that tell quotation from abuse.
 
 Learning (from labelled training rows only): terms of the lexicon are words, and stems (beginnings of words, written
-`stem*`), that occur mostly in documents labelled 1. A sample of SAMPLE_DOCS labelled documents bounds the work; the
-lexicon is bounded by LEXICON. Scoring: each distinct word runs through the trie together with the state of a Levenshtein
+`stem*`), that occur mostly in documents labelled 1. A sample of SAMPLE_DOCS labelled documents bounds the work and the
+lexicon. Scoring: each distinct word runs through the trie together with the state of a Levenshtein
 automaton, which accepts terms within one edit for words of MISSPELT letters or more. A hit's weight is its term's log
 odds; a misspelt hit counts less. In the window of WINDOW words before a hit and within quotation marks, words of
 reporting, denial or quotation lower the weight. A logistic curve over the sum of weights, fitted on the training rows,
 gives the score.
 
+A quotation goes from an opening mark to the next closing one, however far; one that isn't closed is none.
+
 Edge cases: a null or empty text, or one without a hit, gets the score of weight zero, which is below 0.3 unless the
-training rows say otherwise. Without any training row the score is 0.0 for all.
+training rows say otherwise. Without any training row labelled 1 the score is near 0 for all. Each row has a result of its
+own, repeated rows and rows without a doc_id too; an empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,19 +26,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from docquarry.llm.bpe import slices
-from docquarry.session import ship, spread
+from docquarry.session import ship, spread, stash
 
 #: Labelled training documents from which the lexicon and the curve are learned, about, picked by a hash of doc_id.
 SAMPLE_DOCS = 20_000
-LEXICON = 5_000
 LEAST_ODDS = 3.4
 MISSPELT, WINDOW = 5, 3
 WORD = re.compile(r"[^\W\d_]+")
 THRESHOLD = 0.3
-#: Words that report or deny what follows. Fixed values.
-REPORTING = frozenset("said says called quoted quote wrote word term not never no".split())
+#: Words that report or deny what follows, in English, German, French and Spanish. Fixed values.
+REPORTING = frozenset("""
+said says called quoted quote wrote word term not never no
+sagte sagt nannte zitierte schrieb wort begriff nicht nie kein
+dit disait appelle cite mot terme pas jamais
+dijo dice llamó citó escribió palabra término nunca
+""".split())
 QUOTES = {'"': '"', "“": "”", "«": "»", "„": "“"}
 
+OPENING = re.compile("[" + "".join(QUOTES) + "]")
+
 
 class Trie:
     """Terms with weights; a term that ends in * stands for all words that begin with it."""
@@ -132,7 +141,7 @@ class Scorer:
         hits = {w: x for w in distinct if (x := self.weight(w))}
         if not hits:
             return 0.0
-        held = quoted(text) if any(q in text for q in QUOTES) else []
+        held = quoted(low)
         out = 0.0
         where = [m.start() for m in WORD.finditer(low)] if held else []
         for i, w in enumerate(words):
@@ -151,14 +160,15 @@ class Scorer:
 
 
 def quoted(text: str) -> list[tuple[int, int]]:
-    """Spans between quotation marks of at most 300 characters."""
+    """Spans from an opening quotation mark to the next closing one."""
     out, at = [], 0
-    while at < len(text):
-        end = QUOTES.get(text[at])
-        if end and 0 < (b := text.find(end, at + 1, at + 300)):
-            out.append((at, b))
-            at = b
-        at += 1
+    while m := OPENING.search(text, at):
+        end = text.find(QUOTES[m.group()], m.end())
+        if end >= 0:
+            out.append((m.start(), end))
+            at = end + 1
+        else:
+            at = m.end()
     return out
 
 
@@ -175,7 +185,8 @@ def learn(documents: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOC
     share = min(1.0, sample_docs / max(n, 1))
     picked = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)) + 1))
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = texts.join(F.broadcast(picked), "doc_id").groupBy(F.xxhash64("text").alias("h")).agg(F.max("y").alias("y"), F.first("text").alias("text"))  # picked: about SAMPLE_DOCS rows of two numbers
+    # picked: about SAMPLE_DOCS rows of two numbers. Equal texts count once; three passes read them
+    rows = stash(texts.join(F.broadcast(picked), "doc_id").groupBy("text").agg(F.max("y").alias("y")), "labelled")
 
     def stems(batches):
         seen = (Counter(), Counter())
@@ -198,7 +209,7 @@ def learn(documents: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOC
     # log odds from a lower bound of the count among toxic texts, so that a chance group of copies makes no term
     sure = F.greatest(F.col("bad") - F.sqrt("bad"), F.lit(0.1))
     odds = F.log(sure / F.lit(bad_n + 1.0)) - F.log((F.col("good") + 1.0) / F.lit(good_n + 1.0))
-    top = counts.where("term != '' and bad >= 3").withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS).orderBy(F.desc("bad"), "term").limit(LEXICON)
+    top = counts.where("term != '' and bad >= 3").withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS).select("term", "bad", "odds")
     terms = lexicon({r["term"]: (r["bad"], float(r["odds"])) for r in top.collect()})
     model = {"terms": terms, "curve": (0.0, 1.0)}
     held = spark.sparkContext.broadcast(model)
@@ -247,7 +258,7 @@ def score_table(documents: DataFrame, model: dict) -> DataFrame:
     """doc_id and score of each whole text."""
     spark = documents.sparkSession
     ship(spark)
-    held = spark.sparkContext.broadcast(model)  # bounded by LEXICON
+    held = spark.sparkContext.broadcast(model)  # bounded by the sample
 
     def run(batches):
         scorer = _SCORERS.get(0)

@@ -5,8 +5,10 @@ following the link pops, both computed beforehand, so one pass over a word's byt
 longest-match splitting makes, without building any piece. The vocabulary holds all single bytes, so no word fails.
 
 A word is a run of letters, digits and underscores, or one other character that isn't white space; it is looked up with
-the leading blank that marks a word's start in the vocabulary. A null or empty text, or one of white space only, has no
-words and no pieces.
+the leading blank that marks a word's start in the vocabulary.
+
+Edge cases: a null or empty text, or one of white space only, has no words and no pieces. Each row has a result of its own,
+repeated rows and rows without a doc_id too; an empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -107,13 +109,3 @@ def count_table(documents: DataFrame, vocabulary: str) -> DataFrame:
     docs = spread(documents.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text"))
     return docs.mapInArrow(run, "doc_id long, n_words long, n_pieces long")
 
-
-def brute_count(word: bytes, vocabulary) -> int:
-    """Greedy longest match that tries each length; for tests."""
-    longest, n, at = max(map(len, vocabulary)), 0, 0
-    while at < len(word):
-        at += next(k for k in range(min(longest, len(word) - at), 0, -1) if word[at : at + k] in vocabulary)
-        n += 1
-    return n
-
-

@@ -74,15 +74,26 @@ def test_bpe_equals_tiktoken(spark):
     assert bpe.encode_table(docs(spark, []), queries.vocabulary(), P.PATTERN).count() == 0
 
 
+def brute_count(word, vocabulary):
+    """Greedy longest match that tries each length."""
+    longest, n, at = max(map(len, vocabulary)), 0, 0
+    while at < len(word):
+        at += next(k for k in range(min(longest, len(word) - at), 0, -1) if word[at : at + k] in vocabulary)
+        n += 1
+    return n
+
+
 def test_wordpiece_equals_longest_match(spark):
     vocabulary = ranks()
     auto = wordpiece.Automaton(vocabulary)
     rng = random.Random(2)
     words = ["".join(rng.choice("abcdefgh éß1") for _ in range(rng.randint(1, 30))).encode() for _ in range(2000)]
-    assert [auto.count(w) for w in words] == [wordpiece.brute_count(w, vocabulary) for w in words]
+    assert [auto.count(w) for w in words] == [brute_count(w, vocabulary) for w in words]
     got = rows_of(wordpiece.count_table(docs(spark, ODD), queries.vocabulary()), "doc_id", "n_words", "n_pieces")
-    want = [(i, len(w := wordpiece.WORD.findall(t or "")), sum(wordpiece.brute_count(b" " + x.encode(), vocabulary) for x in w)) for i, t in ODD]
+    want = [(i, len(w := wordpiece.WORD.findall(t or "")), sum(brute_count(b" " + x.encode(), vocabulary) for x in w)) for i, t in ODD]
     assert got == sorted(want, key=repr)
+    assert rows_of(wordpiece.count_table(docs(spark, [(None, "a"), (1, "b"), (1, "b")]), queries.vocabulary()), "doc_id", "n_words") == [(1, 1), (1, 1), (None, 1)]
+    assert wordpiece.count_table(docs(spark, []), queries.vocabulary()).count() == 0
 
 
 # --- 2, 5
@@ -454,6 +465,15 @@ def test_exact_dedup(spark):
     assert rows_of(got, "doc_id", "keep_id", "group_size", "kept") == [(4, 4, 3, True), (4, 4, 3, True), (None, 4, 3, False), (None, None, 1, True)]
 
 
+def test_kept_snapshot(spark, tmp_path):
+    old, new = [(1, "a  b"), (2, "a b"), (3, "c"), (None, "d"), (9, None)], [(20, "a\tb"), (21, "c"), (4, "e"), (22, "e"), (23, "d"), (24, ""), (None, "f")]
+    exact_dedup.write_snapshot(docs(spark, old), f"{tmp_path}/snapshot")
+    got = rows_of(exact_dedup.dedup_batch(f"{tmp_path}/snapshot", docs(spark, new)), "doc_id", "keep_id", "group_size", "kept")
+    assert got == sorted([(20, 1, 3, False), (21, 3, 2, False), (4, 4, 2, True), (22, 4, 2, False), (23, None, 2, False), (24, 9, 2, False), (None, None, 1, True)], key=repr)
+    exact_dedup.write_snapshot(docs(spark, []), f"{tmp_path}/empty")
+    assert rows_of(exact_dedup.dedup_batch(f"{tmp_path}/empty", docs(spark, [(5, "x"), (6, "x")])), "doc_id", "keep_id", "kept") == [(5, 5, True), (6, 5, False)]
+
+
 # --- 7, 9
 
 
@@ -483,6 +503,47 @@ def test_toxicity_context():
     assert s.score("you m0ron") == s.score("you there") and s.score("you morron") > 0.3 and s.score("loweitum") > 0.3
 
 
+def brute_total(text, terms):
+    """Sum of hits' weights by trying every term and every quotation."""
+    low, out = (text or "").lower(), 0.0
+    quotes, at = [], 0
+    while at < len(low):
+        if low[at] in toxicity.QUOTES and (b := low.find(toxicity.QUOTES[low[at]], at + 1)) >= 0:
+            quotes.append((at, b))
+            at = b
+        at += 1
+    found = [(m.start(), m.group()) for m in re.finditer(r"[^\W\d_]+", low)]
+    for k, (at, w) in enumerate(found):
+        x = max([v for t, v in terms.items() if (w.startswith(t[:-1]) if t.endswith("*") else w == t)], default=0.0)
+        if not x:
+            x = 0.6 * max([v for t, v in terms.items() if not t.endswith("*") and len(t) >= 5 and distance(t, w) <= 1], default=0.0)
+        if any(v in toxicity.REPORTING for _, v in found[max(0, k - 3) : k]):
+            x *= 0.7
+        out += 0.4 * x if any(a <= at < b for a, b in quotes) else x
+    return out
+
+
+def test_toxicity_equals_brute_force(spark):
+    rng = random.Random(9)
+    terms = {"moron": 5.0, "lowe*": 4.0, "idiots": 3.0, "vermin": 2.0, "twit": 1.5}
+    words = ["moron", "morron", "mron", "lowery", "loweitum", "idiot", "idiots", "vermim", "twit", "twits", "said", "nicht", "mot", "you", "are", '"', "“", "”", "«", "»", "İ", ".", "x" * 60]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 60))) for _ in range(300)] + [None, "", '"' + "a " * 400 + 'moron"', "İ" * 40 + ' he wrote "moron" there']
+    scorer = toxicity.Scorer({"terms": terms, "curve": (-3.0, 2.0)})
+    assert [scorer.total(t) for t in texts] == pytest.approx([brute_total(t, terms) for t in texts])
+    model = {"terms": terms, "curve": (-3.0, 2.0)}
+    rows = [*enumerate(texts), (None, "moron"), (7, "moron"), (7, "moron")]
+    got = rows_of(toxicity.score_table(docs(spark, rows), model), "doc_id", "score")
+    sigmoid = lambda t: 1 / (1 + np.exp(-min(30.0, -3 + 2 * np.log1p(brute_total(t, terms)))))
+    want = sorted(((i, sigmoid(t)) for i, t in rows), key=repr)
+    assert [i for i, _ in got] == [i for i, _ in want] and [x for _, x in got] == pytest.approx([x for _, x in want])
+
+
+def test_quotation_whatever_its_length_and_letters():
+    s = toxicity.Scorer({"terms": {"moron": 5.0}, "curve": (-3.0, 2.0)})
+    assert s.total('"' + "a " * 400 + 'moron"') == s.total('"a moron"') == 2.0
+    assert s.total("İ" * 40 + ' "moron"') == 2.0
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.1"
     got = queries.op7_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out")
@@ -507,10 +568,44 @@ def test_language_held_out(spark):
     got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.predict_table(docs(spark, rows), model).collect()}
     assert got[1] == got[2] == got[3] == ("und", 1.0) and got[4][0] in model["langs"] and got[5][0] == "en"
     assert langid.learn(docs(spark, []), F.lit(True)) == {"langs": []}
+    # each row's prediction by a plain Viterbi recursion over plain counts
+    d = spark.read.parquet(f"{sf}/documents.parquet").limit(150).select("doc_id", "text", "lang")
+    model = langid.learn(d, ~langid.held_out())
+    counts = collections.defaultdict(collections.Counter)
+    for r in d.collect():
+        if zlib.crc32(str(r.doc_id).encode()) % 5 and r.lang and r.text:
+            counts[r.lang].update(re.findall(r"[^\W\d_]{1,24}", r.text.lower()))
+    assert model["langs"] == sorted(counts) and set(model["number"]) == {w for c in counts.values() for w, n in c.items() if n >= 3}
+    scorer, got = langid.Scorer(model), {r["doc_id"]: r["lang_pred"] for r in langid.predict_table(d, model).collect()}
+    for r in d.collect():
+        words = re.findall(r"[^\W\d_]{1,24}", (r.text or "").lower())
+        if not words:
+            assert got[r.doc_id] == "und"
+            continue
+        scorer.add(set(words))
+        best, paths = scorer.of(words[:1])[0].astype(float), [[k] for k in range(len(model["langs"]))]
+        for row in scorer.of(words)[1:].astype(float):
+            step = [[best[i] - (langid.SWITCH_PENALTY if i != j else 0) for i in range(len(best))] for j in range(len(best))]
+            lead = [max(range(len(best)), key=lambda i: (step[j][i], i == j)) for j in range(len(best))]
+            best, paths = np.array([step[j][lead[j]] for j in range(len(best))]) + row, [paths[lead[j]] + [j] for j in range(len(best))]
+        path = paths[int(best.argmax())]
+        weight = np.bincount(path, list(map(len, words)), len(best))
+        assert got[r.doc_id] == model["langs"][int(weight.argmax())]
+    model = langid.learn(spark.read.parquet(f"{sf}/documents.parquet"), F.lit(True))
     mixed = langid.spans("the of and that in is it for on with the of and " * 2 + "der die und ist nicht mit auf für den ein " * 3, langid.Scorer(model))
     assert [s[2] for s in mixed] == ["en", "de"]
 
 
+def test_all_letters_of_a_long_run_count():
+    """Words that agree in their first 24 letters, as texts without blanks do."""
+    rng = random.Random(3)
+    make = lambda letters: "".join(rng.choice(letters) for _ in range(400))
+    model = langid.model_of({"aa": collections.Counter(langid.WORD.findall(make("abcd"))), "bb": collections.Counter(langid.WORD.findall(make("wxyz")))})
+    head, scorer = make("abcd")[:24], langid.Scorer(model)
+    assert [x for x, _ in langid.predict_many([head + make("abcd"), head + make("wxyz")], scorer)] == ["aa", "bb"]
+    assert [x[2] for x in langid.spans(make("abcd")[:240] + make("wxyz")[:240], scorer)] == ["aa", "bb"]
+
+
 def test_viterbi_short_cut():
     rng = np.random.default_rng(1)
     for _ in range(300):
