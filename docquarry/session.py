@@ -24,7 +24,8 @@ def ship(spark: SparkSession) -> None:
     """Send this package to the Python workers, once per application.
 
     Rows of texts are large: Arrow batches get ARROW_ROWS rows at most where the session has Spark's default of 10,000, and
-    ARROW_BYTES at most where it has the default of 64 MB.
+    ARROW_BYTES at most where it has the default of 64 MB. This holds for the session from then on, since plans are run
+    later than they are made; values that the caller has set stay.
     """
     sc = spark.sparkContext
     if spark.conf.get(_BATCH) == "10000":
@@ -46,9 +47,14 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset.
+
+    Only a local master may leave it unset; executors on other machines couldn't see a folder of the driver's.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = getattr(spark.sparkContext, "_docquarry_dir", None)
         if root is None:
             root = "file://" + tempfile.mkdtemp(prefix="docquarry-shared-")
