@@ -57,6 +57,18 @@ GUIDANCE_HEADING = r"^Section (\d+\.\d+(?:\([a-zA-Z0-9]+\))*)(?: ([A-Z][^…]{0,
 PARAGRAPH = r"^\(([a-z])\)(?: +([A-Z].*))?$"
 CITATION_GROUP = r"\[\s*(S\d+(?:\s*[,;]\s*S\d+)*)\s*\]"
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+#: White space at the ends of a line: blanks, tabs, separators and Unicode spaces.
+SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+
+
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once, however often body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def strip(text: Column) -> Column:
+    """Without white space at both ends, Unicode spaces included."""
+    return F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+\z", "")
 
 
 def tokenize(text: Column, remove_stopwords: bool = False) -> Column:
@@ -67,7 +79,7 @@ def tokenize(text: Column, remove_stopwords: bool = False) -> Column:
 
 
 def split_lines(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, LINE_BREAK), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, LINE_BREAK), strip), lambda x: x != "")
 
 
 def mask_digits(line: Column) -> Column:
@@ -102,9 +114,9 @@ def is_rejected_heading(line: Column) -> Column:
 def match_heading(line: Column) -> Column:
     """STRUCT<id, title, type, body>, or null where the line starts no section."""
     got = lambda p, g: F.regexp_extract(line, p, g)
-    shape = lambda i, title, kind, body=None: F.struct(i.alias("id"), F.trim(title).alias("title"), F.lit(kind).alias("type"), (body if body is not None else F.lit("")).alias("body"))
+    shape = lambda i, title, kind, body=None: F.struct(i.alias("id"), strip(title).alias("title"), F.lit(kind).alias("type"), (body if body is not None else F.lit("")).alias("body"))
     numbers = F.array_join(F.regexp_extract_all(got(MULTI_HEADING, 1), F.lit(SECTION_NUMBER + r"(?:\.\d+)*"), F.lit(0)), ", ")
-    body = F.trim(F.substr(line, F.length(got(NUMBERED_HEADING, 0)) + 1))
+    body = strip(F.substr(line, F.length(got(NUMBERED_HEADING, 0)) + 1))
     found = (
         F.when(line.rlike(NUMBERED_HEADING), shape(got(NUMBERED_HEADING, 1), got(NUMBERED_HEADING, 2), "code", body))
         .when(line.rlike(MULTI_HEADING), shape(numbers, got(MULTI_HEADING, 2), "code"))
@@ -116,10 +128,10 @@ def match_heading(line: Column) -> Column:
 
 
 def paragraph_marker(line: Column) -> Column:
-    """STRUCT<letter, title> of a regulation paragraph, or null."""
+    """STRUCT<letter, title, body> of a regulation paragraph, or null."""
     rest = F.regexp_extract(line, PARAGRAPH, 2)
-    first = F.trim(F.split_part(rest, F.lit("."), F.lit(1)))
-    return F.when(line.rlike(PARAGRAPH), F.struct(F.regexp_extract(line, PARAGRAPH, 1).alias("letter"), F.when(F.length(first) <= 60, first).otherwise("").alias("title")))
+    first = strip(F.split_part(rest, F.lit("."), F.lit(1)))
+    return F.when(line.rlike(PARAGRAPH), F.struct(F.regexp_extract(line, PARAGRAPH, 1).alias("letter"), F.when(F.length(first) <= 60, first).otherwise("").alias("title"), rest.alias("body")))
 
 
 def ancestor_ids(section_id: Column) -> Column:
@@ -182,3 +194,43 @@ def parse_grade(reply: Column) -> Column:
     """STRUCT<relevant, parsed>: the first whole word yes or no; neither counts as relevant, not parsed."""
     word = F.regexp_extract(F.lower(reply), r"\b(yes|no)\b", 1)
     return F.struct((word != "no").alias("relevant"), (word != "").alias("parsed"))
+
+
+def parse_rewrite(reply: Column, fallback: Column) -> Column:
+    """The first line of a reply that holds more than quotes and a 'Search query:' label, else the fallback."""
+    bare = lambda line: F.regexp_replace(strip(F.regexp_replace(line, r"(?i)^\s*(?:search\s+query\s*:)?\s*", "")), r"^[\"'`]+|[\"'`]+$", "")
+    said = F.filter(F.transform(F.split(reply, LINE_BREAK), lambda x: strip(bare(x))), lambda x: x != "")
+    return F.coalesce(F.get(said, F.lit(0)), fallback)
+
+
+def contains_expected(text: Column, expected: Column) -> Column:
+    """Whether each string of an array appears; 'a|b' is either, a number counts only where it isn't part of another."""
+    def pattern(x: Column) -> Column:
+        quoted = F.regexp_replace(x, r"([\\\[\](){}.*+?^$|])", r"\\$1")
+        return F.concat(F.when(x.rlike(r"^\d"), r"(?<![\d./])").otherwise(""), quoted, F.when(x.rlike(r"\d$"), r"(?![\d/]|\.\d)").otherwise(""))
+
+    return F.forall(expected, lambda item: F.exists(F.split(item, r"\|"), lambda x: F.regexp_like(text, pattern(x))))
+
+
+def percent(value: Column) -> Column:
+    """A ratio as whole percents, a dash for null."""
+    return F.coalesce(F.concat(F.round(value * 100).cast("int").cast("string"), F.lit("%")), F.lit("–"))
+
+
+def short(text: Column, most: int = 300) -> Column:
+    """One table cell's worth of text."""
+    flat = F.translate(text, "\n|", " /")
+    return F.when(F.length(flat) <= most, flat).otherwise(F.concat(F.substring(flat, 1, most), F.lit(" […]")))
+
+
+def source_tag(section_id: Column, source: Column) -> Column:
+    """'404.2.3 [standards]': the third word of the file's name tells files with equal section ids apart."""
+    return F.concat(section_id, F.lit(" ["), F.split_part(F.split_part(source, F.lit("_"), F.lit(3)), F.lit("."), F.lit(1)), F.lit("]"))
+
+
+def outcome_label(refused: Column, reason: Column, in_corpus: Column, contains_ok: Column, status: Column) -> Column:
+    """How an answered question went, in words."""
+    refusal = F.concat(F.lit("refused ("), reason, F.lit(")"), F.when(in_corpus, "").otherwise(" ✓"))
+    told = F.when(contains_ok.isNull(), "answered").when(contains_ok, "correct").otherwise("WRONG")
+    review = F.when(F.coalesce(status, F.lit("")) == "needs_review", " [review]").otherwise("")
+    return F.when(refused, refusal).when(~in_corpus, "ANSWERED (out of corpus)").otherwise(F.concat(told, review))

@@ -6,58 +6,105 @@ window has a total order.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from docquarry.session import spread, stash
+from docquarry.session import ship, spread, stash, stored
 
-FILTER_KEYS = ("code_name", "edition_year", "section_type", "lang", "source")
+FILTER_KEYS = ("code_name", "edition_year", "section_type")
 K1, B, EPSILON, RRF_K = 1.5, 0.75, 0.25, 60
+#: Rows of a side up to which it is broadcast; beyond that joins go by shuffle.
+BROADCAST_ROWS = 100_000
+#: Different terms of all queries up to which they are pushed down to the scan of postings.
+PUSHED_TERMS = 1_000
+#: Queries of a vector search that are scored in one pass over the vectors.
+QUERY_BLOCK = 4096
 
 
-def filter_column(filters: dict) -> Column:
-    """A predicate of equalities and IN lists; None values count as absent, unknown keys raise."""
+def filter_column(filters: dict | None, keys: tuple[str, ...] = FILTER_KEYS) -> Column:
+    """A predicate of equalities and IN lists; None values count as absent, unknown keys raise. A null never matches."""
     used = {k: v for k, v in (filters or {}).items() if v is not None}
-    if unknown := sorted(set(used) - set(FILTER_KEYS)):
-        raise ValueError(f"Unknown filter keys: {unknown}")
+    if unknown := sorted(set(used) - set(keys)):
+        raise ValueError(f"Unknown filter keys {unknown}; allowed: {keys}")
     out = F.lit(True)
     for k, v in used.items():
         out = out & (F.col(k).isin(list(v)) if isinstance(v, (list, tuple, set)) else F.col(k) == F.lit(v))
     return out
 
 
+def maybe_broadcast(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """df, marked for a broadcast where it has `most` rows at most."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+# --- the keyword index
+
+
+@dataclass(frozen=True)
+class Index:
+    """postings (id, term, tf, dl), sorted by term in files; terms (term, df, idf); size (n, avgdl), one row."""
+
+    id_col: str
+    postings: DataFrame
+    terms: DataFrame
+    size: DataFrame
+
+
 def postings(units: DataFrame, id_col: str, tokens: Column) -> DataFrame:
     """id, term, tf, dl: one row for each term of a unit. One shuffle by id, with partial counts before it."""
     terms = units.select(id_col, tokens.alias("tokens")).select(id_col, F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
     return terms.groupBy(id_col, "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def index(units: DataFrame, id_col: str, tokens: Column) -> DataFrame:
-    """postings(), written once to the shared folder: statistics, lengths and scores all read them, texts are parsed once."""
-    return stash(postings(spread(units), id_col, tokens), "postings")
+def by_term(posted: DataFrame) -> DataFrame:
+    """Postings dealt and sorted by term, so that a scan for a few terms skips most row groups; large terms are dealt out evenly."""
+    return posted.hint("rebalance", "term").sortWithinPartitions("term")
+
+
+def size_of(posted: DataFrame, n_units: DataFrame) -> DataFrame:
+    """n (units, empty ones too) and avgdl. n_units: one row with n."""
+    total = posted.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("total"))
+    return n_units.crossJoin(total).select("n", F.try_divide(F.col("total"), F.col("n")).alias("avgdl"))  # one row each
 
 
-def term_stats(posted: DataFrame, id_col: str) -> DataFrame:
+def term_stats(posted: DataFrame, size: DataFrame) -> DataFrame:
     """term, df, idf. A negative idf becomes EPSILON times the average of all terms' raw values, which may be negative."""
-    units = posted.select(id_col, "dl").distinct().agg(F.count(F.lit(1)).alias("n"))
-    df = posted.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(units))  # one row
+    df = posted.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(size.select("n")))  # one row
     raw = df.select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     average = raw.agg(F.avg("raw").alias("mean"))
     return raw.crossJoin(F.broadcast(average)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
-def bm25(posted: DataFrame, stats: DataFrame, id_col: str, query_tokens: DataFrame, k: int, allowed: DataFrame | None = None, tie: str | None = None) -> DataFrame:
+def build_index(units: DataFrame, id_col: str, tokens: Column, key: str | None = None) -> Index:
+    """An index of units, written once; with a key it is kept for the application and read again for the same key."""
+    spark = units.sparkSession
+    keep = (lambda name, make: stash(make(), name)) if key is None else (lambda name, make: stored(spark, f"{key}/{name}", make))
+    posted = keep("postings", lambda: by_term(postings(spread(units), id_col, tokens)))
+    size = keep("size", lambda: size_of(posted, units.agg(F.count(F.lit(1)).alias("n"))))
+    return Index(id_col, posted, keep("terms", lambda: term_stats(posted, size)), size)
+
+
+def bm25(index: Index, query_tokens: DataFrame, k: int, allowed: DataFrame | None = None, tie: str | None = None) -> DataFrame:
     """query_id, id, rank, score of the k best units; query_tokens: query_id, term, qn (times in the query).
 
     Filters apply before the cut (allowed: the ids that count); idf and lengths are of the whole corpus. Only postings of
-    query terms are scored, only positive scores are hits.
+    query terms are read, only positive scores are hits.
     """
-    size = posted.groupBy(id_col).agg(F.first("dl").alias("dl")).agg(F.avg("dl").alias("avgdl"))
-    hit = query_tokens.join(stats.select("term", "idf"), "term").join(posted, "term").crossJoin(F.broadcast(size))
+    ident = index.id_col
+    asked = query_tokens.join(index.terms.select("term", "idf"), "term")
+    posted = index.postings
+    few = [r["term"] for r in query_tokens.select("term").distinct().limit(PUSHED_TERMS + 1).collect()]
+    if len(few) <= PUSHED_TERMS:
+        posted = posted.where(F.col("term").isin(few)) if few else posted.where(F.lit(False))
+    hit = posted.join(maybe_broadcast(asked), "term").crossJoin(F.broadcast(index.size.select("avgdl")))  # one row
     if allowed is not None:
-        hit = hit.join(allowed, id_col, "left_semi")
+        hit = hit.join(allowed, ident, "left_semi")
     weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = hit.groupBy("query_id", id_col).agg(F.round(F.sum(F.col("qn") * F.col("idf") * weight), 6).alias("score")).where("score > 0")
-    return top(scored, k, [F.desc("score"), F.col(tie or id_col)])
+    scored = hit.groupBy("query_id", ident).agg(F.round(F.sum(F.col("qn") * F.col("idf") * weight), 6).alias("score")).where("score > 0")
+    return top(scored, k, [F.desc("score"), F.col(tie or ident)])
 
 
 def top(scored: DataFrame, k: int, order: list) -> DataFrame:
@@ -69,13 +116,90 @@ def query_tokens(queries: DataFrame, tokens: Column) -> DataFrame:
     return queries.select("query_id", F.explode(tokens).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qn"))
 
 
-def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """query_id, vec_id, rank, score by cosine; queries (query_id, q) are a stated set, scored in one pass over vectors."""
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    norm = F.sqrt(dot(F.col("embedding"), F.col("embedding")) * dot(F.col("q"), F.col("q")))
-    pairs = vectors.select("vec_id", "embedding").join(F.broadcast(queries), F.col("vec_id") != F.col("query_id"))
-    scored = pairs.select("query_id", "vec_id", F.round(F.try_divide(dot(F.col("embedding"), F.col("q")), norm), 6).alias("score"))
-    return top(scored, k, [F.desc("score"), F.col("vec_id")])
+# --- vectors
+
+
+def _best_of(asked: np.ndarray, numbers: np.ndarray, own: np.ndarray, k: int, self_hits: bool):
+    """For batches of vectors: the k best of a task for each query. asked: rows of length one; own: the queries' ids."""
+    def run(batches):
+        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]  # query, id, score
+        least = np.full(len(asked), -np.inf)
+
+        def prune():
+            q, i, s = held
+            order = np.lexsort((i, -s, q))
+            q, i, s = q[order], i[order], s[order]
+            head = np.searchsorted(q, np.arange(len(asked)))
+            keep = np.arange(len(q)) - head[q] < k
+            q, i, s = q[keep], i[keep], s[keep]
+            full = np.flatnonzero(np.bincount(q, minlength=len(asked)) >= k)
+            least[full] = s[np.searchsorted(q, full, "right") - 1]
+            held[:] = q, i, s
+
+        for batch in batches:
+            lists = batch["v"]
+            size = np.diff(lists.offsets.to_numpy())
+            ok = np.flatnonzero(size == asked.shape[1])
+            if not len(ok):
+                continue
+            x = lists.take(pa.array(ok)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ok), -1)
+            ids = batch["id"].to_numpy()[ok]
+            with np.errstate(invalid="ignore", divide="ignore"):
+                score = np.round(x @ asked.T / np.sqrt((x * x).sum(axis=1))[:, None], 6)
+            if not self_hits:
+                score[ids[:, None] == own[None, :]] = -np.inf
+            score[~np.isfinite(score)] = -np.inf
+            if len(ids) > 4 * k:  # the batch's own k-th score of each query is one to reach
+                floor = np.maximum(least, -np.partition(-score, k - 1, axis=0)[k - 1])
+            else:
+                floor = least
+            row, q = np.nonzero((score >= floor[None, :]) & (score > -np.inf))
+            held[:] = (np.concatenate(y) for y in zip(held, (q, ids[row], score[row, q]), strict=True))
+            if len(held[0]) > 8 * k * len(asked):
+                prune()
+        prune()
+        yield pa.RecordBatch.from_arrays([pa.array(numbers[held[0]]), pa.array(held[1]), pa.array(held[2])], names=["n", "id", "score"])
+
+    return run
+
+
+def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", self_hits: bool = True) -> DataFrame:
+    """query_id, id, rank, score by cosine of the k best vectors; queries: query_id, q.
+
+    Queries are a stated set: they go in blocks of QUERY_BLOCK, by a hash, against all rows, each block in one pass of matrix
+    products, and each task keeps the k best of its rows. Ids are integers, or else are numbered first. self_hits: a vector
+    whose id is the query's counts.
+    """
+    spark = vectors.sparkSession
+    ship(spark)
+    kind = dict(vectors.dtypes)[id_col]
+    whole = kind in ("bigint", "int", "smallint", "tinyint")
+    held = vectors.where(F.col("embedding").isNotNull() & ~F.exists("embedding", lambda e: e.isNull() | F.isnan(e)))
+    if not whole:
+        held = stash(held.select(F.monotonically_increasing_id().alias("_n"), F.col(id_col), "embedding"), "vectors")
+    rows = held.select((F.col(id_col) if whole else F.col("_n")).cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    good = queries.where(F.col("q").isNotNull() & ~F.exists("q", lambda e: e.isNull() | F.isnan(e)) & (F.size("q") > 0))
+    n = good.count()
+    blocks, parts = max(1, -(-n // QUERY_BLOCK)), None
+    for b in range(blocks):
+        some = good.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).select("query_id", F.col("q").cast("array<double>").alias("q")).collect()
+        for dims in sorted({len(r["q"]) for r in some}) or [0]:
+            own = [r for r in some if len(r["q"]) == dims]
+            q = np.array([r["q"] for r in own], np.float64).reshape(len(own), dims)
+            ids = np.array([r["query_id"] if isinstance(r["query_id"], int) else -1 for r in own], np.int64)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                run = _best_of(q / np.sqrt((q * q).sum(axis=1))[:, None], np.arange(len(own)), ids, k, self_hits)
+            told = spark.createDataFrame([(i, r["query_id"]) for i, r in enumerate(own)], f"n long, query_id {dict(queries.dtypes)['query_id']}")
+            part = rows.mapInArrow(run, "n long, id long, score double").join(F.broadcast(told), "n").drop("n")  # QUERY_BLOCK rows at most
+            parts = part if parts is None else parts.unionByName(part)
+    if not whole:
+        parts = parts.join(held.select(F.col("_n").alias("id"), id_col), "id").drop("id")
+    else:
+        parts = parts.withColumnRenamed("id", id_col)
+    return top(parts.select("query_id", id_col, "score"), k, [F.desc("score"), F.col(id_col)])
+
+
+# --- children and parents
 
 
 def parents_of(hits: DataFrame, k: int | None = None) -> DataFrame:
@@ -86,6 +210,28 @@ def parents_of(hits: DataFrame, k: int | None = None) -> DataFrame:
     return out if k is None else out.where(F.col("rank") <= k)
 
 
+def child_scores(rankings: list[DataFrame], k: int = RRF_K) -> DataFrame:
+    """query_id, child_id, score: reciprocal ranks of children summed over rankings (query_id, child_id, rank)."""
+    rows = None
+    for r in rankings:
+        part = r.select("query_id", "child_id", "rank")
+        rows = part if rows is None else rows.unionByName(part)
+    return rows.groupBy("query_id", "child_id").agg(F.round(F.sum(1.0 / (k + F.col("rank"))), 10).alias("score"))
+
+
+def best_children(candidates: DataFrame, scores: DataFrame, children: DataFrame) -> DataFrame:
+    """candidates (query_id, parent_id, ...) with `best`, their matched children, best first; without any, the first child.
+
+    children: child_id, parent_id, child_index, start_char, text. Ties go by child_index.
+    """
+    matched = scores.join(children, "child_id").join(candidates.select("query_id", "parent_id"), ["query_id", "parent_id"], "left_semi")
+    child = F.struct((-F.col("score")).alias("order"), "child_index", "child_id", F.col("start_char").alias("start"), (F.col("start_char") + F.length("text")).alias("end"), "text")
+    held = matched.groupBy("query_id", "parent_id").agg(F.array_sort(F.collect_list(child)).alias("matched"))
+    first = children.where("child_index = 0").withColumn("score", F.lit(0.0)).select("parent_id", F.array(child).alias("first"))
+    got = candidates.join(held, ["query_id", "parent_id"], "left").join(first, "parent_id", "left")
+    return got.withColumn("best", F.coalesce("matched", "first")).drop("matched", "first")
+
+
 def fuse(rankings: dict[str, DataFrame], k: int = RRF_K) -> DataFrame:
     """Reciprocal rank fusion of rankings (query_id, parent_id, rank): rrf, ranks by retriever, fused position."""
     rows = None
@@ -99,22 +245,28 @@ def fuse(rankings: dict[str, DataFrame], k: int = RRF_K) -> DataFrame:
     return fused.withColumn("fused_pos", F.row_number().over(w))
 
 
+def exact_refs(parents: DataFrame) -> DataFrame:
+    """section_id (lower case) and parent_id of the sections that a reference can name: searchable ones, first occurrences."""
+    return parents.where(F.col("searchable") & (F.col("occurrence") == 1)).select(F.lower("section_id").alias("section_id"), "parent_id")
+
+
 def pin(fused: DataFrame, refs: DataFrame, sections: DataFrame) -> DataFrame:
-    """Sections that a query names go first. refs: query_id, pos, ref; sections: section_id, parent_id (searchable, first).
+    """Sections that a query names go first. refs: query_id, pos, ref; sections: section_id, parent_id (of exact_refs()).
 
     A reference falls back to itself without its last (..) groups; the longest that exists counts. Pinned sections that
     no retriever found come with rrf 0.
     """
     groups = F.regexp_extract_all("ref", F.lit(r"\([^()]*\)"), F.lit(0))
     plain = F.regexp_extract("ref", r"^[^(]*", 0)
-    cuts = F.transform(F.sequence(F.lit(0), F.size(groups)), lambda n: F.struct(n.alias("kept"), F.concat(plain, F.array_join(F.slice(groups, F.lit(1), n), "")).alias("id")))
+    cuts = F.transform(F.sequence(F.lit(0), F.size(groups)), lambda n: F.struct(n.alias("kept"), F.lower(F.concat(plain, F.array_join(F.slice(groups, F.lit(1), n), ""))).alias("id")))
     tried = refs.select("query_id", "pos", F.explode(cuts).alias("c"))
     found = tried.join(sections.select(F.lower("section_id").alias("id"), "parent_id"), F.col("c.id") == F.col("id"))
     best = found.withColumn("best", F.max("c.kept").over(Window.partitionBy("query_id", "pos"))).where(F.col("c.kept") == F.col("best"))
     pinned = best.groupBy("query_id", "parent_id").agg(F.min("pos").alias("pin_pos"))
     both = fused.join(pinned, ["query_id", "parent_id"], "full")
     w = Window.partitionBy("query_id").orderBy(F.col("pin_pos").asc_nulls_last(), F.col("fused_pos").asc_nulls_last(), "parent_id")
-    return both.select("query_id", "parent_id", F.coalesce("rrf", F.lit(0.0)).alias("rrf"), F.col("pin_pos").isNotNull().alias("pinned"), "pin_pos", F.row_number().over(w).alias("fused_pos"))
+    ranks = F.coalesce("ranks", F.create_map().cast("map<string,int>")) if "ranks" in fused.columns else F.create_map().cast("map<string,int>")
+    return both.select("query_id", "parent_id", F.coalesce("rrf", F.lit(0.0)).alias("rrf"), ranks.alias("ranks"), F.col("pin_pos").isNotNull().alias("pinned"), "pin_pos", F.row_number().over(w).alias("fused_pos"))
 
 
 def order(candidates: DataFrame, mode: str, weight: float = 0.5, k: int = RRF_K) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
 import uuid
@@ -74,6 +75,31 @@ def stash(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fingerprint(df: DataFrame) -> str:
+    """The files that df reads, with their sizes and times: another fingerprint means other contents."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    said = []
+    for name in sorted(df.inputFiles()):
+        p = jvm.org.apache.hadoop.fs.Path(name)
+        status = p.getFileSystem(conf).getFileStatus(p)
+        said.append(f"{name}|{status.getLen()}|{status.getModificationTime()}")
+    return hashlib.sha1("\n".join(said).encode()).hexdigest()
+
+
+def stored(spark: SparkSession, key: str, make) -> DataFrame:
+    """The table that make() gives, written to the shared folder once an application; later calls with the key read it."""
+    held = getattr(spark.sparkContext, "_docquarry_stored", None)
+    if held is None:
+        held = spark.sparkContext._docquarry_stored = {}
+    if key not in held:
+        df = make()
+        path = f"{shared_dir(spark)}/docquarry/{spark.sparkContext.applicationId}/stored-{uuid.uuid4().hex}"
+        df.write.option("compression", "zstd").parquet(path)
+        held[key] = path, df.schema
+    path, schema = held[key]
+    return spark.read.schema(schema).parquet(path)
+
+
 def stash_mark(spark: SparkSession) -> int:
     """How many stashes there are; give it to sweep() to remove only later ones."""
     return len(getattr(spark.sparkContext, "_docquarry_stashes", []))
