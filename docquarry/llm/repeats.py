@@ -31,10 +31,10 @@ from pyspark.sql import DataFrame, functions as F
 from docquarry.llm.bpe import slices
 from docquarry.llm.common import arrow_bytes, mix64, new_seed, spare
 from docquarry.llm.suffixes import Grown
-from docquarry.session import parts, ship
+from docquarry.session import ship
 
 #: Bytes of text for which there is one bucket and one shard.
-BYTES_PER_BUCKET = 4 << 20
+BYTES_PER_BUCKET = 2 << 20
 #: Bytes of a document that are looked at together; longer ones are cut with an overlap.
 PIECE = 1 << 20
 #: Bytes of documents that are looked at together, about.
@@ -422,7 +422,7 @@ def remove_repeats(documents: DataFrame, op, schema: str) -> DataFrame:
     number = F.coalesce(own, F.lit(NO_ID) + F.shiftrightunsigned(F.xxhash64(text), 4))
     docs = documents.select(number.alias("doc_id"), own.alias("own_id"), text.alias("text"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = shards = max(2 * parts(spark), -(-int(total) // BYTES_PER_BUCKET))
+    buckets = shards = max(2 * spark.sparkContext.defaultParallelism, -(-int(total) // BYTES_PER_BUCKET))
 
     def placed(batches):
         for batch in batches:
