@@ -169,9 +169,12 @@ def expand_abbreviations(text: Column, table: dict[str, str] = ABBREVIATIONS) ->
 
 def expand_glossary(text: Column, table: dict[str, str] = GLOSSARY) -> Column:
     """Append the terms of everyday words that the text has, as ' (a, b)'."""
-    found = F.flatten(F.array(*(F.when(text.rlike(rf"(?iu)\b{word}(?:s|es)?\b"), F.array(*map(F.lit, terms.split(", ")))).otherwise(F.array().cast("array<string>")) for word, terms in table.items())))
-    new = F.filter(F.array_distinct(found), lambda t: ~F.contains(F.lower(text), F.lower(t)))
-    return F.when(F.size(new) > 0, F.concat(text, F.lit(" ("), F.array_join(new, ", "), F.lit(")"))).otherwise(text)
+    def body(t: Column) -> Column:
+        found = F.flatten(F.array(*(F.when(t.rlike(rf"(?iu)\b{word}(?:s|es)?\b"), F.array(*map(F.lit, terms.split(", ")))).otherwise(F.array().cast("array<string>")) for word, terms in table.items())))
+        new = let(F.lower(t), lambda low: F.filter(F.array_distinct(found), lambda x: ~F.contains(low, F.lower(x))))
+        return let(new, lambda n: F.when(F.size(n) > 0, F.concat(t, F.lit(" ("), F.array_join(n, ", "), F.lit(")"))).otherwise(t))
+
+    return let(text, body)
 
 
 def cited_labels(text: Column) -> Column:

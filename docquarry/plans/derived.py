@@ -465,9 +465,9 @@ def simplest_mode(spark, d):
     return evalx.simplest_mode(counts, ["p_brand"])
 
 
-@register("SELECT user_id, event_type AS stage, round(sum(value), 1) AS ms FROM events GROUP BY ALL")
+@register("SELECT user_id, event_type AS stage, sum(floor(value)) AS ms FROM events GROUP BY ALL")
 def stage_times(spark, d):
-    return G.stage_times(table(spark, d, "events").select("user_id", F.col("event_type").alias("stage"), F.col("value").alias("ms")), ["user_id"])
+    return G.stage_times(table(spark, d, "events").select("user_id", F.col("event_type").alias("stage"), F.floor("value").cast("double").alias("ms")), ["user_id"])
 
 
 @register("""WITH o AS (SELECT event_id % 500 AS query_id, event_id AS parent_id, value, event_id % 97 = 0 AS pinned, row_number() OVER (PARTITION BY event_id % 500 ORDER BY value DESC, event_id) AS position FROM events),
