@@ -191,11 +191,12 @@ def test_long_texts_are_cut_with_an_overlap(monkeypatch, local, hot, limit):
         def of(wires):
             return repeats.wire([(r["kind"], r["part"], r["blob"]) for r in wires])
 
+        held = pa.table({"blob": [repeats.pack_texts(np.array([i for i, _ in rows]), np.ones(len(rows), np.uint8), [np.frombuffer((t or "").encode(), np.uint8) for _, t in rows])]})
         replies = grouped(sent, repeats._answer(op, 1))
-        wanted = repeats._send(op, 3)(scalar(0), table, of(replies)).to_pylist()
+        wanted = repeats._send(op, 3)(scalar(0), held, of(replies)).to_pylist()
         assert local or any(r["kind"] == 2 for r in wanted)
         spans = grouped(wanted, streamed(repeats._compare(op, 1)))
-        got = repeats._finish(op)(scalar(0), table, of(spans)).to_pylist()
+        got = repeats._finish(op)(scalar(0), held, of(spans)).to_pylist()
         assert sorted((tuple(r.values()) for r in got), key=repr) == want
 
 
@@ -641,11 +642,15 @@ def brute_links(rows):
     return sorted(((i, root(i), links[i]) for i in sets), key=repr)
 
 
-def test_jaccard(spark, monkeypatch):
+@pytest.mark.parametrize("hot", [1000, 5])
+def test_jaccard(spark, monkeypatch, hot):
     rng = random.Random(5)
     base = [f"w{i}" for i in range(150)]
     near = [(1000 + i, " ".join(x if rng.random() > 0.012 else f"z{rng.randint(0, 999)}" for x in base)) for i in range(600)]  # several blocks
     rows = ODD + random_rows(6) + near + [(3000, near[0][1]), (3001, near[0][1] + " ")]
+    from docquarry.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
     got = jaccard.jaccard_classes(docs(spark, rows))
     assert rows_of(got, "doc_id", "class_id", "n_links") == brute_links(rows)
     assert jaccard.jaccard_classes(docs(spark, [])).count() == 0
