@@ -18,7 +18,6 @@ empty table gives an empty result. Extra columns are ignored.
 
 from __future__ import annotations
 
-import math
 import re
 from bisect import bisect_right
 from collections import Counter, defaultdict
@@ -96,31 +95,46 @@ def learn(documents: DataFrame, train, sample_docs: int = SAMPLE_DOCS) -> dict:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words)), pa.array(list(words)), pa.array(list(words.values()), pa.int64())], names=["lang", "word", "n"])
 
     words = bounded.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    held = words.toArrow()  # the words of about SAMPLE_DOCS documents
-    counts: dict[str, dict[str, int]] = defaultdict(dict)
-    for lang, word, n in zip(*(held[c].to_pylist() for c in ("lang", "word", "n")), strict=True):
-        counts[lang][word] = n
-    return model_of(counts)
+    model = model_from(words.toArrow())  # the words of about SAMPLE_DOCS documents
+    spare()
+    return model
 
 
 def model_of(counts: dict[str, dict[str, int]]) -> dict:
-    """Log scores from word counts by language."""
-    langs = sorted(counts)
+    """model_from() of word counts by language."""
+    rows = [(lang, w, n) for lang, words in counts.items() for w, n in words.items()]
+    lang, word, n = zip(*rows, strict=True) if rows else ([], [], [])
+    return model_from(pa.table({"lang": pa.array(lang, pa.string()), "word": pa.array(word, pa.string()), "n": pa.array(n, pa.int64())}))
+
+
+def model_from(table: pa.Table) -> dict:
+    """Log scores from rows of lang, word and n. Words become Python strings some thousands at a time."""
+    import pyarrow.compute as pc
+
+    langs = sorted(x for x in pc.unique(table["lang"]).to_pylist())
     if not langs:
         return {"langs": []}
-    totals = [sum(counts[x].values()) or 1 for x in langs]
-    vocabulary = sorted({w for x in counts.values() for w, n in x.items() if n >= LEAST_COUNT})
-    words = np.array([[math.log((counts[x].get(w, 0) + 0.05) / (t + 0.05 * len(vocabulary))) for x, t in zip(langs, totals, strict=True)] for w in vocabulary], np.float32).reshape(len(vocabulary), len(langs))
+    often = pc.unique(table.filter(pc.greater_equal(table["n"], LEAST_COUNT))["word"])
+    vocabulary = sorted(often.to_pylist())
+    number = {w: i for i, w in enumerate(vocabulary)}
+    words, totals = np.zeros((len(vocabulary), len(langs))), np.zeros(len(langs))
     grams, scripts = np.zeros((GRAM_ROWS, len(langs))), [Counter() for _ in langs]
     for k, lang in enumerate(langs):
-        own = list(counts[lang])
-        rows, owner = gram_rows(own)
-        grams[:, k] = np.bincount(rows, 1 + np.log(np.array([counts[lang][w] for w in own], float))[owner], GRAM_ROWS)
-        for w, n in counts[lang].items():
-            scripts[k][script_of(w)] += n
+        own = table.filter(pc.equal(table["lang"], lang))
+        totals[k] = max(1, pc.sum(own["n"]).as_py() or 0)
+        for part in own.select(["word", "n"]).to_batches(max_chunksize=8192):
+            some, n = part["word"].to_pylist(), part["n"].to_numpy().astype(float)
+            rows, owner = gram_rows(some)
+            grams[:, k] += np.bincount(rows, 1 + np.log(n)[owner], GRAM_ROWS)
+            for w, m in zip(some, n.tolist(), strict=True):
+                scripts[k][script_of(w)] += m
+                at = number.get(w)
+                if at is not None:
+                    words[at, k] = m
+    words = np.log((words + 0.05) / (totals + 0.05 * len(vocabulary))).astype(np.float32)
     grams = np.log((grams + 0.5) / (grams.sum(axis=0) + 0.5 * GRAM_ROWS)).astype(np.float32)
     uses = {s: [scripts[k][s] > 0.001 * totals[k] for k in range(len(langs))] for s in {s for c in scripts for s in c}}
-    return {"langs": langs, "number": {w: i for i, w in enumerate(vocabulary)}, "word": words, "gram": grams, "scripts": uses, "prior": int(np.argmax(totals))}
+    return {"langs": langs, "number": number, "word": words, "gram": grams, "scripts": uses, "prior": int(np.argmax(totals))}
 
 
 class Scorer:
