@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from docquarry.llm.common import GOLDEN, Rolling, arrow_bytes, fetch_texts, join_unique, mix64, name64, new_seed, numbered, spare, word_hashes
+from docquarry.llm.common import GOLDEN, HASH_BYTES, Rolling, arrow_bytes, fetch_texts, join_unique, mix64, name64, new_seed, numbered, spare, word_hashes
 from docquarry.llm.components import components
 from docquarry.session import ship, spread, stash
 
@@ -44,17 +44,27 @@ _MUL = (_RNG.integers(0, 1 << 32, BANDS * ROWS, np.uint32) | np.uint32(1))[:, No
 _ADD = _RNG.integers(0, 1 << 32, BANDS * ROWS, np.uint32)[:, None]
 
 
-def shingles(data: np.ndarray, seed: int) -> np.ndarray:
-    """Sorted distinct 64-bit names of a text's shingles."""
-    _, _, h, g = word_hashes(data, seed)
-    n = len(h)
-    if not n:
-        return h
-    roll = Rolling(h, seed, g)
-    if n < SHINGLE:
-        return name64(*roll.of(np.array([0]), np.array([n])))
-    at = np.arange(n - SHINGLE + 1)
-    return np.unique(name64(*roll.of(at, at + SHINGLE)))
+def shingles(texts: list[np.ndarray], seed: int) -> list[np.ndarray]:
+    """Sorted distinct 64-bit names of each text's shingles; texts are hashed about a megabyte at a time."""
+    out: list[np.ndarray] = []
+    blank, a = np.array([0x20], np.uint8), 0
+    while a < len(texts):
+        b, size = a, 0
+        while b < len(texts) and (b == a or size + len(texts[b]) < HASH_BYTES):
+            size += len(texts[b]) + 1
+            b += 1
+        starts, _, h, g = word_hashes(np.concatenate([x for t in texts[a:b] for x in (t, blank)]), seed)
+        ends = np.cumsum([len(t) + 1 for t in texts[a:b]])
+        cut = np.concatenate([[0], np.searchsorted(starts, ends)])
+        roll, n = Rolling(h, seed, g), np.diff(cut)
+        # all runs of five words, and the whole of texts with fewer; runs over two texts are left out
+        at = np.arange(max(len(h) - SHINGLE + 1, 0))
+        five = name64(*roll.of(at, at + SHINGLE))
+        whole = name64(*roll.of(cut[:-1], cut[1:]))
+        for k, m in enumerate(n.tolist()):
+            out.append(np.unique(five[cut[k] : cut[k + 1] - SHINGLE + 1]) if m >= SHINGLE else whole[k : k + 1] if m else whole[:0])
+        a = b
+    return out
 
 
 def exact_shingles(texts: list[np.ndarray]) -> list[np.ndarray]:
@@ -115,8 +125,7 @@ def _describe(seed: int):
     def run(batches):
         for batch in batches:
             count, digest, sigs = [], [], []
-            for data in arrow_bytes(batch["text"]):
-                s = shingles(data, seed)
+            for s in shingles(arrow_bytes(batch["text"]), seed):
                 count.append(len(s))
                 digest.append(digest_of(s))
                 if len(s):
@@ -222,7 +231,7 @@ def _pairs_of(table: pa.Table, seed: int) -> pa.Table:
     spare()
     ids, comp, block = table["doc_id"].to_numpy(), table["comp"].to_numpy(), table["block"].to_numpy()
     pair, n = table["pair"].to_numpy(), table["n"].to_numpy()
-    sig = np.stack([signature(shingles(x, seed)) for x in arrow_bytes(table["text"])])
+    sig = np.stack([signature(s) for s in shingles(arrow_bytes(table["text"]), seed)])
     sets = exact_shingles(arrow_bytes(table["text"]))
     texts, docs, forest = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64), _Forest()
 
@@ -276,8 +285,7 @@ def _classes(source: DataFrame) -> DataFrame:
     classes = stash(has.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys")), "classes")
     banded = classes.select("rep", F.explode("keys").alias("key"))
     shared = banded.groupBy("key").agg(F.min("rep").alias("low"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    n_classes = classes.count()
-    star = join_unique(banded, shared, ["key"], "m", BANDS * n_classes).where("rep != low").select(F.col("rep").alias("a"), F.col("low").alias("b"))
+    star = banded.join(shared, "key").where("rep != low").select(F.col("rep").alias("a"), F.col("low").alias("b"))
     members = stash(components(star, "candidates").join(classes.select(F.col("rep").alias("node"), "n", "n_shingles"), "node"), "members")
     n_members = members.count()
     tasks = _blocks(members, n_members)
@@ -298,7 +306,7 @@ def _classes(source: DataFrame) -> DataFrame:
 def _blocks(members: DataFrame, n_members: int) -> DataFrame:
     """Where each text goes: doc_id, n, comp, block, pair (0 whole component, 1 own block, more: two blocks), task."""
     size = members.groupBy("root").agg(F.count(F.lit(1)).alias("m"))
-    m = join_unique(members, size, ["root"], "m", n_members)  # a component may hold a third of all texts
+    m = members.join(size, "root")
     spread = F.lit(max(1, -(-n_members // (2 * BLOCK))))
     small = m.where(F.col("m") <= 2 * BLOCK).select(
         F.col("node").alias("doc_id"), "n", F.col("root").alias("comp"), F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("pair"),
